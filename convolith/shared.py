@@ -7,8 +7,10 @@ folder of our own is made and set.
 
 from __future__ import annotations
 
+import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -56,3 +58,17 @@ def table_bytes(df: DataFrame) -> int:
     """Catalyst's size estimate of a plan, used to prove a bound before anything is broadcast."""
     stats = df._jdf.queryExecution().optimizedPlan().stats()
     return int(stats.sizeInBytes().toString())
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Give the executors' Python workers this package, once for each Spark context."""
+    sc = spark.sparkContext
+    if getattr(sc, "_convolith_shipped", False):
+        return
+    here = Path(__file__).resolve().parent
+    with tempfile.TemporaryDirectory() as folder:
+        work = Path(folder, "tree")
+        shutil.copytree(here, work / here.name, ignore=shutil.ignore_patterns("__pycache__"))
+        name = shutil.make_archive(str(Path(tempfile.mkdtemp(prefix="convolith-ship-"), "convolith")), "zip", work)
+    sc.addPyFile(name)
+    sc._convolith_shipped = True
