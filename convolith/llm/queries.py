@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from convolith.llm import leakage, packing
+from convolith.llm import leakage, packing, spam
 from convolith.sources.tables import table
 
 
@@ -28,5 +28,9 @@ def p8_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leakage.without_leaks(documents, leaks, spans=True)
 
 
-QUERIES = {"p7_packed": p7_packed, "p7_fill": p7_fill, "p8_found": p8_found, "p8_clean": p8_clean}
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spam.spam_pages(table(spark, sf_dir, "documents")).select("doc_id")
+
+
+QUERIES = {"p7_packed": p7_packed, "p7_fill": p7_fill, "p8_found": p8_found, "p8_clean": p8_clean, "p9_found": p9_found}
 ORACLE: dict[str, str] = {}
