@@ -4,10 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from convolith.llm import leakage, packing, spam
+from convolith.llm import leakage, packing, pairs, spam
 from convolith.sources.tables import table
 
 
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    messages = table(spark, sf_dir, "messages").select("msg_no", "session_id", "seq", "role", "content", "tool_calls")
+    return pairs.broken_pairs(messages)
+
+
 def p7_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), table(spark, sf_dir, "container_kinds"))
 
@@ -32,5 +37,5 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spam.spam_pages(table(spark, sf_dir, "documents")).select("doc_id")
 
 
-QUERIES = {"p7_packed": p7_packed, "p7_fill": p7_fill, "p8_found": p8_found, "p8_clean": p8_clean, "p9_found": p9_found}
+QUERIES = {"p1_found": p1_found, "p7_packed": p7_packed, "p7_fill": p7_fill, "p8_found": p8_found, "p8_clean": p8_clean, "p9_found": p9_found}
 ORACLE: dict[str, str] = {}
