@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from convolith.llm import leakage, packing, pairs, spam
+from convolith.llm import leakage, packing, pairs, personal, spam
 from convolith.sources.tables import table
 
 
@@ -13,6 +14,23 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.broken_pairs(messages)
 
 
+def _personal_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    contents = table(spark, sf_dir, "messages").select(F.lit("content").alias("place"), F.col("msg_no").alias("row_no"), F.col("content").alias("text"))
+    titles = table(spark, sf_dir, "sessions").select(F.lit("title").alias("place"), F.col("session_no").alias("row_no"), F.col("title").alias("text"))
+    return contents.unionByName(titles)
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = personal.mentions(_personal_texts(spark, sf_dir), table(spark, sf_dir, "name_parts"))
+    return found.select("place", "row_no", "pii_type", "start_at").distinct()
+
+
+def p3_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    texts = _personal_texts(spark, sf_dir)
+    found = personal.mentions(texts, table(spark, sf_dir, "name_parts"))
+    return personal.redact(texts, found)
+
+
 def p7_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), table(spark, sf_dir, "container_kinds"))
 
@@ -37,5 +55,5 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spam.spam_pages(table(spark, sf_dir, "documents")).select("doc_id")
 
 
-QUERIES = {"p1_found": p1_found, "p7_packed": p7_packed, "p7_fill": p7_fill, "p8_found": p8_found, "p8_clean": p8_clean, "p9_found": p9_found}
+QUERIES = {"p1_found": p1_found, "p3_found": p3_found, "p3_redacted": p3_redacted, "p7_packed": p7_packed, "p7_fill": p7_fill, "p8_found": p8_found, "p8_clean": p8_clean, "p9_found": p9_found}
 ORACLE: dict[str, str] = {}
