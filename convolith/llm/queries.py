@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from convolith.llm import leakage, packing, pairs, personal, spam
+from convolith.llm import conversations, leakage, packing, pairs, personal, spam
 from convolith.sources.tables import table
 
 
@@ -14,6 +14,10 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.broken_pairs(messages)
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.rebuilt(table(spark, sf_dir, "stream_events")).select("session_id", "turn_no", "event_no")
+
+
 def _personal_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     contents = table(spark, sf_dir, "messages").select(F.lit("content").alias("place"), F.col("msg_no").alias("row_no"), F.col("content").alias("text"))
     titles = table(spark, sf_dir, "sessions").select(F.lit("title").alias("place"), F.col("session_no").alias("row_no"), F.col("title").alias("text"))
@@ -55,5 +59,32 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spam.spam_pages(table(spark, sf_dir, "documents")).select("doc_id")
 
 
-QUERIES = {"p1_found": p1_found, "p3_found": p3_found, "p3_redacted": p3_redacted, "p7_packed": p7_packed, "p7_fill": p7_fill, "p8_found": p8_found, "p8_clean": p8_clean, "p9_found": p9_found}
-ORACLE: dict[str, str] = {}
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p3_redacted": p3_redacted, "p7_packed": p7_packed, "p7_fill": p7_fill, "p8_found": p8_found, "p8_clean": p8_clean, "p9_found": p9_found}
+#: White space of any kind and zero-width characters, as DuckDB's regular expressions spell them.
+_NOTHING = r"[\s\p{Z}\p{Cc}\p{Cf}\x{034F}\x{115F}\x{1160}\x{17B4}\x{17B5}\x{180B}-\x{180F}\x{2800}\x{3164}\x{FE00}-\x{FE0F}\x{FFA0}]+"
+
+ORACLE = {
+    "p2_found": f"""WITH keyed AS (
+  SELECT event_no, type, session_id, sent_at, message.role AS role, message.content AS content,
+         nullif(lower(regexp_replace(message.id, '^\\s+|\\s+$', '', 'g')), '') AS k
+  FROM stream_events WHERE session_id IS NOT NULL),
+bounds AS (
+  SELECT session_id, min(sent_at) FILTER (type = 'session_start') AS started, max(sent_at) FILTER (type = 'finalize') AS ended
+  FROM keyed GROUP BY session_id),
+single AS (
+  SELECT *, CASE WHEN k IS NULL THEN 1 ELSE row_number() OVER (PARTITION BY session_id, k ORDER BY event_no) END AS copy
+  FROM keyed WHERE type = 'message'),
+msgs AS (
+  SELECT s.session_id, s.event_no, s.role, row_number() OVER (PARTITION BY s.session_id ORDER BY s.sent_at, s.event_no) AS turn_no
+  FROM single s JOIN bounds b USING (session_id)
+  WHERE s.copy = 1 AND b.ended >= b.started AND s.sent_at >= b.started
+    AND length(regexp_replace(coalesce(s.content, ''), '{_NOTHING}', '', 'g')) > 0),
+marks AS (
+  SELECT session_id, role, lead(role) OVER (PARTITION BY session_id ORDER BY turn_no) AS next_role
+  FROM msgs WHERE role IN ('user', 'model', 'assistant')),
+bad AS (
+  SELECT session_id FROM msgs WHERE role IS NULL OR role NOT IN ('user', 'system', 'model', 'assistant', 'thought', 'tool')
+  UNION SELECT session_id FROM marks WHERE role = 'user' AND (next_role IS NULL OR next_role = 'user'))
+SELECT session_id, CAST(turn_no AS BIGINT) AS turn_no, event_no FROM msgs
+WHERE session_id IN (SELECT session_id FROM msgs WHERE role = 'user') AND session_id NOT IN (SELECT session_id FROM bad)""",
+}
