@@ -45,6 +45,11 @@ def until(created_at: Column, before: int | None) -> Column:
     return F.lit(True) if before is None else created_at.isNull() | (created_at <= F.lit(before).cast("decimal(20,0)"))
 
 
+def is_blank(content: Column) -> Column:
+    """Nothing but Unicode white space."""
+    return F.regexp_replace(content, r"(?U)\s+", "") == ""
+
+
 def preview(content: Column, size: int = 60) -> Column:
     """The first characters, with dots where the text takes more than ``size`` bytes."""
     return F.when(F.octet_length(content) > size, F.concat(F.left(content, F.lit(size)), F.lit("..."))).otherwise(content)
@@ -76,7 +81,7 @@ def seconds_of(text: Column) -> Column:
     """Digits are unix seconds, a date is its midnight UTC (before 1970: 0), anything else null."""
     number = F.when(text.rlike(r"^\+?\d{1,20}$"), F.regexp_replace(text, r"^\+", "").cast("decimal(20,0)"))
     date = F.when(text.rlike(r"^[+-]?\d{1,6}-\d{1,2}-\d{1,2}$"), F.unix_seconds(F.try_to_timestamp(text, F.lit("y-M-d"))))
-    return F.coalesce(number, F.greatest(date, F.lit(0)).cast("decimal(20,0)"))
+    return F.coalesce(number, F.when(date < 0, F.lit(0)).otherwise(date).cast("decimal(20,0)"))
 
 
 def parse_when(text: str) -> int:

@@ -19,9 +19,11 @@ def from_index(index: DataFrame) -> DataFrame:
 
 def from_scan(sessions: DataFrame, messages: DataFrame) -> DataFrame:
     """The same from the rows; only counts of messages are taken, no texts.  Copies of an id count each."""
-    times = sessions.agg(F.count("*").alias("session_count"), F.coalesce(F.min(F.when(F.col("created_at") > 0, F.col("created_at"))), F.lit(0)).alias("min_time"), F.coalesce(F.max("created_at"), F.lit(0)).alias("max_time"))
-    counts = messages.agg(F.count("*").alias("message_count"))
-    return times.crossJoin(counts)  # one row each
+    seconds = sessions.schema["created_at"].dataType
+    none = F.lit(None).cast(seconds)
+    rows = sessions.select(F.lit(1).alias("s"), F.lit(0).alias("m"), F.col("created_at").alias("t")).unionByName(messages.select(F.lit(0).alias("s"), F.lit(1).alias("m"), none.alias("t")))
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    return rows.agg(total("s").alias("session_count"), F.coalesce(F.min(F.when(F.col("t") > 0, F.col("t"))), F.lit(0)).alias("min_time"), F.coalesce(F.max("t"), F.lit(0)).alias("max_time"), total("m").alias("message_count"))
 
 
 def with_pending(archive: DataFrame, pending: DataFrame) -> DataFrame:
