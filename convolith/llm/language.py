@@ -7,7 +7,7 @@ import re
 #: Common small words; a fixed list for each language.
 SMALL_WORDS = {
     "en": "the a an of to and in is are was were that this it for with on as at by from not or be you can which then than into if when while but your after before because both only how what why should would there their give me three ways without any no nobody still once under about have has had does do them us our we i my some all more most",
-    "de": "der die das und ist nicht ein eine einen dem den des zu mit auf für von im war wurde werden ich sie es dass wenn wie kann man nach bei oder aber auch noch ohne bevor obwohl weil sollte zuerst wir haben gesehen dann was passiert unter etwa bitte erkläre jede ohne seit beim einem einer niemand daran liegt ihr unser mein meine",
+    "de": "der die das und ist nicht ein eine einen dem den des zu mit auf für von im war wurde werden ich sie es dass wenn wie kann man nach bei oder aber auch noch ohne bevor obwohl weil sollte zuerst wir haben gesehen dann am warum passiert unter etwa bitte erkläre jede ohne seit beim einem einer niemand daran liegt ihr unser mein meine",
     "fr": "le la les des du un une et est dans que qui ne pas pour avec sur au aux par plus ce cette il je nous vous être sont avant puis sans depuis lors après comme où cas été a de d'abord faut se s'est l'ordre n'est",
     "es": "el la los las un una y es en que no por con para del al se lo como más pero sus ya o este si antes luego después primero hay han hemos sin desde cuando qué cómo puedo porque volvió de",
     "it": "il lo gli un una e è di che non per con del della dei sono nel alla si come più ma anche perché quando prima poi questo abbiamo senza dopo",

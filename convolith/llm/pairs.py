@@ -176,10 +176,12 @@ _TOKEN = re.compile(r"[㐀-鿿぀-ヿ]|[^\W_㐀-鿿぀-ヿ]+(?:['’][^\W_]+)*")
 _INVISIBLE = re.compile(r"[\s​-‏⁠-⁤﻿­͏ ‪-‮⠀ㅤ]+")
 _MARKUP = re.compile(r"</?[A-Za-z][^<>]*>|&nbsp;|&#160;")
 _SENTENCE = re.compile(r"(?<=[.!?…])[\"'”’)]*\s+|(?<=[。！？])|\n+")
-_FINISHED = re.compile(r"[.!?…。！？．‼⁇⁉؟।][\s\"'”’»)\]}*_`~>|]*$|[`\]})»”\">|;]$|[\U0001F300-\U0001FAFF☺-➿]$")
+_FINISHED = re.compile(r"[.!?…。！？．‼⁇⁉؟।][\s\"'”’»)\]}*_`~>|]*$|[`\]})»”\">|]$|[\U0001F300-\U0001FAFF☺-➿]$")
 _ITEM = re.compile(r"^\s*(?:[-*•+]|\d{1,3}[.)]|[a-z][.)])\s+(.*)$")
 _LABEL = re.compile(r"^\W*(?:[^\W\d][\w ]{1,24}\.?\s?:\s?\S.{0,90}|[^\W\d][^\W\d ]*(?: [^\W\d ]+){0,3},\s+[^\W\d][^\d,]{1,40}|mailto:\S.*|[\w.+-]+@[\w.-]+|[+(]?\d[\d ()/.-]{5,})$")
 _PERSONAL = re.compile(r"@|\b(?:at|dot)\b.*\bdot\b|(?:\d[\s()/.-]*){6}|[A-ZÀ-Þ][\w'’-]+ (?:[A-Z]\. )?(?:(?:van|von|de|der|di|da|del|la) )*[A-ZÀ-Þ][\w'’-]+|\b[A-Z]\. [A-ZÀ-Þ]|\b\d{1,3} [A-Z]")
+_NAMED = re.compile(r"(?:[A-ZÀ-Þ][\w'’-]+|[A-Z]\.) (?:[A-Z]\. )?(?:(?:van|von|de|der|di|da|del|la) )*[A-ZÀ-Þ][\w'’-]+")
+_NUMBERED = re.compile(r"\S@\S|\b(?:at|dot)\b.*\bdot\b|(?:\d[\s()/.-]*){6}|\b[A-Z]?\d{6,}|\b\d{1,3}[A-Za-z]? (?:[A-Z][\w'’-]+ )+(?:St|Street|Road|Lane|Avenue|Drive|Terrace|Crescent|Row|Wharf|Blvd|Close)\b|\b\d{1,3},? (?:rue|avenue|boulevard)\b|(?:gasse|straße|allee|[Rr]ing|weg|platz) \d{1,3}\b")
 #: Small words no finished text ends with.
 _OPEN_WORDS = frozenset("the a an and or but of to in on at by for from with that which as than if when while because is are was were be not no its their der die das und oder zu mit auf für von dass bevor weil le la les de du des et ou que qui un une dans pour avec el los las y o del al por con para и или но что чем когда если в на с к по за не".split())
 
@@ -218,6 +220,8 @@ def _is_copy(prompt: list[str], reply: list[str]) -> bool:
     if inside < 0.5:
         return False
     common = lcs_length(prompt, reply)
+    if common >= 0.95 * len(reply) and common >= 0.7 * len(prompt):  # nothing added, few words lost
+        return True
     if common < COPIED * len(prompt):
         return False
     if len(reply) > 1.5 * len(prompt):  # repeated more than once: every shingle must still be the prompt's
@@ -296,6 +300,9 @@ def _is_truncated(reply: str) -> bool:
         alike = [o for o in others if o[:1].isupper() == sentence_like and not _FINISHED.search(o.strip())]
         if others and not alike:
             return True
+        # an item that stops inside what an earlier one says
+        if any(len(o.strip()) > len(body) and o.strip().startswith(body) for o in others):
+            return True
         return sentence_like and not alike and len(words) > 3
     if last[-1] in ",:-–—(":
         return True
@@ -309,7 +316,7 @@ def _is_truncated(reply: str) -> bool:
     sentences = [s for s in _SENTENCE.split("\n".join(lines)) if s.strip()]
     tail = tokens(sentences[-1])
     rest = sentences[:-1]
-    if len(tail) <= 4 and sentences[-1].strip()[:1].isupper() and rest and all(_PERSONAL.search(s) for s in rest):
+    if len(tail) <= 4 and sentences[-1].strip()[:1].isupper() and rest and all(_NUMBERED.search(s) or language(s) != "de" and _NAMED.search(s) for s in rest):
         return False
     return not (len(sentences) == 1 and _LABEL.match(last))
 
@@ -318,7 +325,7 @@ def _is_other_language(prompt: str, reply: str) -> bool:
     b = language(reply)
     if b is None:
         return False
-    a = language(prompt)
+    a = language(prompt) or language(next((s for s in _SENTENCE.split(prompt) if s.strip()), ""))
     return a is not None and a != b and b not in languages_asked(prompt)
 
 
