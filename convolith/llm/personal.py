@@ -186,7 +186,8 @@ def candidates(text: str, gaz: Gazetteer) -> list[tuple]:
         left, right = text[max(0, a - 48) : a], text[b : b + 24]
         before = 1 if _BEFORE[kind].search(left) else 0
         after = 1 if _AFTER[kind].search(right) else 0
-        if numeric and not before and _NOBODY.search(left):
+        rival = {"phone": "identity_number", "identity_number": "phone"}.get(kind)
+        if numeric and not before and (_NOBODY.search(left) or _BEFORE[rival].search(left)):
             before = -1
         if numeric and not after and _NOBODY_AFTER.search(right):
             after = -1
