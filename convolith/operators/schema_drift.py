@@ -145,7 +145,7 @@ def _match_boundary(pdf: pd.DataFrame) -> pd.DataFrame:
             w = 0.25 * w + 0.75 * r["n_same"] / r["n_shared"]
         weight[gone.index(r["old_key"]), new.index(r["new_key"])] = w
     found = [(gone[i], new[j]) for i, j in best_matching(weight) if weight[i, j] >= ACCEPT]
-    return pd.DataFrame({"feed": [pdf["feed"].iloc[0]] * len(found), "file_no": [pdf["file_no"].iloc[0]] * len(found), "old_key": [a for a, _ in found], "new_key": [b for _, b in found]})
+    return pd.DataFrame([(pdf["feed"].iloc[0], pdf["file_no"].iloc[0], a, b) for a, b in found], columns=["feed", "file_no", "old_key", "new_key"], dtype=object)
 
 
 def schema_changes(df: DataFrame, feed: str = "feed", file_no: str = "file_no", row_no: str = "input_no", record: str = "id", json: str = "metadata") -> DataFrame:
