@@ -130,6 +130,8 @@ def measured(documents: DataFrame, doc_id: str, text: str, tokenizer: str) -> Da
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         m = measure(tokenizer)
         for pdf in batches:
+            if not len(pdf):
+                continue
             got = np.array([m(t) for t in pdf["text"]], float).reshape(-1, 4)
             spread = np.array([[0.5 + 0.5 * erf(v / 1.4142) for v in row] for row in got[:, 1:]]).reshape(-1, 3)
             grid = np.minimum((spread * (1 << BITS)).astype(np.int64), (1 << BITS) - 1)

@@ -374,6 +374,8 @@ def broken_pairs(messages: DataFrame, **columns: str) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
+            if not len(pdf):
+                continue
             found = [defect(p, r) for p, r in zip(pdf["prompt"], pdf["reply"], strict=True)]
             out = pd.DataFrame({"prompt_no": pdf["prompt_no"], "reply_no": pdf["reply_no"], "defect": found})
             yield out[out["defect"].notna()]
