@@ -248,23 +248,32 @@ def candidates(text: str, gaz: Gazetteer) -> list[tuple]:
     return out
 
 
-def reliabilities(patterns: np.ndarray, counts: np.ndarray, rounds: int = 40) -> tuple[np.ndarray, list[np.ndarray]]:
+def reliabilities(patterns: np.ndarray, counts: np.ndarray, doubted: np.ndarray | None = None, rounds: int = 40) -> tuple[np.ndarray, list[np.ndarray]]:
     """Posterior of each vote pattern and, for each labeler, P(vote | no) and P(vote | yes), by EM.
 
-    ``patterns`` holds votes shifted to 0..K.  It starts from the sign of the votes' sum.
+    ``patterns`` holds votes shifted to 0..K.  It starts from the votes' sum, a vote
+    against weighing more than one for; ``doubted`` patterns start as unlikely.
     """
     n, k = patterns.shape
     total = (patterns - 1).sum(axis=1)
-    post = np.where(total >= 2, 0.95, np.where(total == 1, 0.6, 0.05))
+    against = (patterns == 0).any(axis=1)
+    if doubted is not None:
+        total = np.where(doubted, 0, total)
+    post = np.where(against & (total < 3), 0.05, np.where(total >= 2, 0.95, np.where(total == 1, 0.6, 0.05)))
     values = int(patterns.max()) + 1
     tables: list[np.ndarray] = []
+    first = post.copy()
     for _ in range(rounds):
         prior = float(np.clip((post * counts).sum() / counts.sum(), 0.01, 0.99))
         tables = []
         logit = np.full(n, np.log(prior / (1 - prior)))
         for j in range(k):
-            yes = np.bincount(patterns[:, j], weights=post * counts, minlength=values) + 0.5
-            no = np.bincount(patterns[:, j], weights=(1 - post) * counts, minlength=values) + 0.5
+            # each pattern also speaks once more for where it started, which settles what is rare
+            # and is smoothed by how votes fall overall, so that a labeler that always says the same says nothing
+            overall = np.bincount(patterns[:, j], weights=counts + 1, minlength=values)
+            overall = (overall + 1e-9) / overall.sum()
+            yes = np.bincount(patterns[:, j], weights=post * counts + first, minlength=values) + overall
+            no = np.bincount(patterns[:, j], weights=(1 - post) * counts + 1 - first, minlength=values) + overall
             t = np.stack([no / no.sum(), yes / yes.sum()])
             tables.append(t)
             logit += np.log(t[1, patterns[:, j]] / t[0, patterns[:, j]])
@@ -282,7 +291,7 @@ def _design(patterns: np.ndarray, values: int) -> np.ndarray:
     return np.concatenate([np.ones((len(votes), 1)), one, np.stack(pairs, axis=1)], axis=1)
 
 
-def span_classifier(patterns: np.ndarray, counts: np.ndarray, soft: np.ndarray, penalty: float = 0.5, rounds: int = 60) -> np.ndarray:
+def span_classifier(patterns: np.ndarray, counts: np.ndarray, soft: np.ndarray, penalty: float = 0.1, rounds: int = 60) -> np.ndarray:
     """Score of each pattern by a logistic classifier trained on soft labels (Newton steps, ridge)."""
     x = _design(patterns, int(patterns.max()) + 1)
     w = np.zeros(x.shape[1])
@@ -303,11 +312,11 @@ def span_classifier(patterns: np.ndarray, counts: np.ndarray, soft: np.ndarray,
 def _greedy():
     @F.pandas_udf("array<struct<type: string, start: int, end: int, score: double>>")
     def choose(spans: pd.Series) -> pd.Series:
-        """Spans of one text that do not overlap: the better, then the longer, then the earlier first."""
+        """Spans of one text that do not overlap: names last, then the better, the longer, the earlier first."""
         out = []
         for row in spans:
             taken: list[dict] = []
-            rank = sorted(row, key=lambda s: (-round(s["score"], 1), -(s["end"] - s["start"]), s["start"], TYPES.index(s["type"])))
+            rank = sorted(row, key=lambda s: (s["type"] == "name", -round(s["score"], 1), -(s["end"] - s["start"]), s["start"], TYPES.index(s["type"])))
             starts: list[tuple[int, int]] = []
             for s in rank:
                 if all(s["end"] <= a or b <= s["start"] for a, b in starts):
@@ -359,7 +368,7 @@ def mentions(texts: DataFrame, name_parts: DataFrame, name: str = "name_text", k
     is_name = F.col("pii_type") == "name"
     odd = F.coalesce("given_ordinary", F.lit(0)) + F.coalesce("family_ordinary", F.lit(0))
     words = F.when(is_name & (odd > 0), -1).when(is_name, 1).otherwise(0)
-    company = F.when(is_name & ((F.coalesce("given_beside", F.lit(0)) > 0).cast("int") + (F.coalesce("family_beside", F.lit(0)) > 0).cast("int") == 2), 1).otherwise(0)
+    company = F.when(is_name, (F.coalesce("given_beside", F.lit(0)) > 0).cast("int") + (F.coalesce("family_beside", F.lit(0)) > 0).cast("int")).otherwise(0)
     voted = materialise(spans.select("place", "row_no", "pii_type", "start", "end", "v_form", "v_check", F.least("v_known", F.lit(2)).alias("v_known"), "v_before", "v_after", words.alias("v_words"), company.alias("v_company")), "voted")
 
     # at most 4 ** 7 patterns of each type, whatever the size of the data
@@ -368,7 +377,9 @@ def mentions(texts: DataFrame, name_parts: DataFrame, name: str = "name_text", k
     for _, group in counted.groupby("pii_type"):
         patterns = group[list(VOTES)].to_numpy(int) + 1
         counts = group["count"].to_numpy(float)
-        soft, _ = reliabilities(patterns, counts)
+        # a name needs more than capitals: a known part, company or context
+        bare = (group["pii_type"] == "name") & (group[["v_known", "v_before", "v_after", "v_company"]] <= 0).all(axis=1)
+        soft, _ = reliabilities(patterns, counts, bare.to_numpy())
         scored.append(group.assign(em=soft, score=span_classifier(patterns, counts, soft)))
     if not scored:
         return spark.createDataFrame([], f"place string, row_no {row_type}, pii_type string, start_at int, end_at int, score double")
