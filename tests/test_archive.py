@@ -87,7 +87,7 @@ def test_rotation_and_optimise(spark, tmp_path):
     put(archive, *[doc(f"b{k}", 2, None) for k in range(7)])
     assert archive.segments() == [1, 2]
     before = [(r["id"], r["message_count"]) for r in archive.scan().orderBy("segment", "block_seq", "pos").collect()]
-    made, n = archive.optimise(200)
+    made, n = archive.optimise(30)
     assert n == 7 and made >= 2
     assert [(r["id"], r["message_count"]) for r in archive.scan().orderBy("segment", "block_seq", "pos").collect()] == before
     assert ids(archive.search("session b3")) == ["b3"] and archive.get("a1").first()["id"] == "a1"
