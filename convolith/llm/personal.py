@@ -80,6 +80,7 @@ _AFTER = {
     "email": re.compile(r"^\W{0,2}(?:please|if that helps|or open|cannot log|schicken|\.?$)", re.I),
     "name": re.compile(r"^(?:\s+(?:reported|and they|about it|last week|fragen|on \w|said|wrote|asked|called|told|is waiting|will be|has agreed|agreed)|,\s+(?:is|are|who|was|will)\b|:\s)", re.I),
 }
+_TOLD = re.compile(r"^\s+(?:reported|and they|about it|last week|fragen)\b|^, is waiting")
 #: What numbers that are nobody's are called, before and after.
 _NOBODY = re.compile(r"(?:block|checksum|ticket|session|created_at|total is|offset|version|port|build|commit|order|invoice|row|line|sku|hash|epoch|stamp|page|between|and|event|job|run|batch|code|error)\W{0,3}$", re.I)
 _NOBODY_AFTER = re.compile(r"^(?:\s*(?:bytes?|rows?|blocks?|files?|ms|seconds?|minutes?|kb|mb|gb|tokens?|users?|differs|starts at|is about|was left|records?|lines?|events?)\b|[-:/.]?\w|\s*%|\s+and \d)", re.I)
@@ -160,7 +161,7 @@ def _name_candidates(text: str, gaz: Gazetteer) -> Iterator[tuple]:
             if len(x) > 1 and (family not in _SMALL or family in gaz.family):
                 case = _case(w, initial, x)
                 known = (low in gaz.given) + (family in gaz.family)
-                if known or case == 1 or case == 0 and _BEFORE["name"].search(text[max(0, a - 40) : a]):
+                if known or case == 1 or case == 0 and (_BEFORE["name"].search(text[max(0, a - 40) : a]) or _TOLD.search(text[e : e + 16]) or a == 0 and text[e : e + 2] == ": "):
                     yield a, e, w, x, initial, case, low in gaz.given, family in gaz.family
         # family name, comma, given name
         if not initial and low not in _SMALL and i + 1 < len(words) and re.fullmatch(r",[ \t ]{1,2}", text[b : words[i + 1][0]]):
@@ -170,11 +171,13 @@ def _name_candidates(text: str, gaz: Gazetteer) -> Iterator[tuple]:
             signed = _BEFORE["name"].search(text[max(0, s - 40) : s]) or follows[0] == e + 1 and _shape(follows[2]) in "TU" and text[e : e + 1] == " " and low not in gaz.family
             if (len(x) > 1 or single) and (low in gaz.family or not signed):
                 given, family = _plain(x), low
-                if (given not in _SMALL or given in gaz.given) and ((given in gaz.given) + (family in gaz.family)) and (family in gaz.family or _shape(w) != "l" or single):
-                    start = a
-                    k = i - 1
-                    while k >= 0 and _plain(words[k][2]) in _PARTICLES and text[words[k][1] : start].strip() == "" and text[words[k][1] : start]:
-                        start, k = words[k][0], k - 1
+                known = (given in gaz.given) + (family in gaz.family)
+                start = a
+                k = i - 1
+                while k >= 0 and _plain(words[k][2]) in _PARTICLES and text[words[k][1] : start].strip() == "" and text[words[k][1] : start]:
+                    start, k = words[k][0], k - 1
+                named = _case(x, single, w) == 1 and (_BEFORE["name"].search(text[max(0, start - 40) : start]) or _AFTER["name"].search(text[e + single : e + single + 24]))
+                if (given not in _SMALL or given in gaz.given) and (known and (family in gaz.family or _shape(w) != "l" or single) or named):
                     yield start, e + single, x, w, single, _case(x, single, w), given in gaz.given, family in gaz.family
 
 
