@@ -89,15 +89,20 @@ def surplus_copies(df: DataFrame, group: Column, id: Column, row_no: str, batch:
     kept; an empty table gives an empty result; extra columns are ignored.
     """
     spark = df.sparkSession
-    rows = _keyed(df, group, id, row_no).where("key is not null and grp is not null and row_no is not null")
-    kinds = dict(rows.dtypes)
+    batch_no = batch.cast("long") if batch is not None else F.lit(0)
+    run = F.pmod(F.coalesce(batch_no, F.lit(0)), F.lit(runs if batch is not None else 1))
+    keyed = df.select(group.alias("grp"), message_key(id).alias("key"), F.col(row_no).alias("row_no"), run.cast("int").alias("run"))
+    keyed = keyed.where("key is not null and grp is not null and row_no is not null")
+    # the input is read once; each run then reads only its own part of the three columns that matter
+    path = scratch_path(spark, "deliveries")
+    keyed.write.partitionBy("run").option("compression", "zstd").parquet(path)
+    rows = spark.read.schema(keyed.schema).parquet(path)
+    kinds = dict(keyed.dtypes)
     store = UpsertStore(spark, kinds["grp"], kinds["row_no"])
-    batch_no = batch if batch is not None else F.lit(0)
-    tagged = df.select(group.alias("grp"), message_key(id).alias("key"), F.col(row_no).alias("row_no"), F.pmod(F.coalesce(batch_no.cast("long"), F.lit(0)), F.lit(runs)).alias("run")).where("key is not null and grp is not null and row_no is not null")
     for k in range(runs if batch is not None else 1):
-        store.upsert(tagged.where(F.col("run") == k))
+        store.upsert(rows.where(F.col("run") == k).drop("run"))
     store.compact()
-    return rows.join(store.repeated(), ["grp", "key"]).where("row_no <> kept_no").select("kept_no", F.col("row_no").alias("surplus_no")).distinct()
+    return rows.drop("run").join(store.repeated(), ["grp", "key"]).where("row_no <> kept_no").select("kept_no", F.col("row_no").alias("surplus_no")).distinct()
 
 
 def drop_copies(df: DataFrame, group: Column, id: Column, row_no: str) -> DataFrame:
