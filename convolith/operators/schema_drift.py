@@ -14,6 +14,7 @@ are built with map-side aggregation, so a feed that holds a third of all rows is
 from __future__ import annotations
 
 import re
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -26,6 +27,8 @@ from convolith.shared import materialise
 SKETCH = 64  # hashes kept of a key's tokens
 SHAPES = 32  # shapes kept of a key's values
 ACCEPT = 0.5  # least weight of a rename
+KINDS = ("string", "integer", "decimal", "boolean", "array", "object")
+NUMBER = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
 
 
 def exploded(df: DataFrame, feed: str, file_no: str, row_no: str, record: str, json: str) -> DataFrame:
@@ -53,25 +56,32 @@ def _shape(kind: Column, value: Column) -> Column:
     return F.when(kind.isin("integer", "decimal"), number).otherwise(F.left(text, F.lit(60)))
 
 
+def _kind_counts(n: Column) -> list[Column]:
+    return [F.coalesce(F.sum(F.when(F.col("kind") == k, n)), F.lit(0)).alias(f"n_{k}") for k in KINDS]
+
+
+def _main_kind() -> Column:
+    """The kind of most values by the columns n_*; integers among decimals are decimals."""
+    best, kind = F.greatest(*[F.col(f"n_{k}") for k in sorted(KINDS)]), F.lit(None).cast("string")
+    for k in ("string", "object", "integer", "decimal", "boolean", "array"):
+        kind = F.when((F.col(f"n_{k}") == best) & (best > 0), k).otherwise(kind)
+    return F.when((kind == "integer") & (F.col("n_decimal") > 0), "decimal").otherwise(kind)
+
+
 def profiles(keys: DataFrame) -> DataFrame:
     """One row for each (feed, file_no, key): n, kind, shapes, tokens, low, high; sizes are bounded."""
     at = ["feed", "file_no", "key"]
     shape = keys.groupBy(*at, _shape(F.col("kind"), F.col("value")).alias("shape"), "kind").agg(F.count("*").alias("n"), F.expr("min(try_cast(value as double))").alias("low"), F.expr("max(try_cast(value as double))").alias("high"))
     ranked = shape.withColumn("r", F.row_number().over(Window.partitionBy(*at).orderBy(F.desc("n"), "shape", "kind")))
     # integers among decimals are decimals; other mixtures are settled by number, then by name
-    count = lambda k: F.sum(F.when(F.col("kind") == k, F.col("n")))
     base = ranked.groupBy(*at).agg(
         F.sum("n").alias("n"),
-        *[F.coalesce(count(k), F.lit(0)).alias(f"n_{k}") for k in ("string", "integer", "decimal", "boolean", "array", "object")],
+        *_kind_counts(F.col("n")),
         F.map_from_entries(F.collect_list(F.when((F.col("r") <= SHAPES) & F.col("kind").isNotNull(), F.struct(F.concat_ws("|", "kind", "shape"), "n")))).alias("shapes"),
         F.min("low").alias("low"),
         F.max("high").alias("high"),
     )
-    best, kind = F.greatest(*[F.col(f"n_{k}") for k in ("array", "boolean", "decimal", "integer", "object", "string")]), F.lit(None).cast("string")
-    for k in ("string", "object", "integer", "decimal", "boolean", "array"):
-        kind = F.when((F.col(f"n_{k}") == best) & (best > 0), k).otherwise(kind)
-    kind = F.when((kind == "integer") & (F.col("n_decimal") > 0), "decimal").otherwise(kind)
-    base = base.select(*at, "n", kind.alias("kind"), "shapes", "low", "high")
+    base = base.select(*at, "n", _main_kind().alias("kind"), "shapes", "low", "high")
     token = keys.where("kind in ('string', 'array', 'object', 'boolean')").select(*at, F.explode(F.array_distinct(F.split(F.lower("value"), r"[^\p{L}\p{N}]+"))).alias("t")).where("t <> ''")
     hashed = token.select(*at, F.xxhash64("t").alias("h")).distinct().withColumn("r", F.row_number().over(Window.partitionBy(*at).orderBy("h"))).where(F.col("r") <= SKETCH)
     sketch = hashed.groupBy(*at).agg(F.sort_array(F.collect_list("h")).alias("tokens"))
@@ -203,3 +213,111 @@ def unified_table(df: DataFrame, changes: DataFrame, feed: str = "feed", file_no
     names = names.withColumn("from_no", F.coalesce(F.lag("move_no").over(Window.partitionBy("feed", "key").orderBy("move_no")), F.lit(-(2**31)))).select("feed", "key", "from_no", "move_no", "field")
     at = (keys["feed"] == names["feed"]) & (keys["key"] == names["key"]) & (keys["file_no"] < names["move_no"]) & (keys["file_no"] >= names["from_no"])
     return keys.join(names, at, "left").select(keys["row_no"], keys["feed"], keys["file_no"], keys["record"], F.coalesce(names["field"], keys["key"]).alias("field"), keys["key"], keys["kind"], keys["value"])
+
+
+def _plain(kind: Column, value: Column) -> Column:
+    """A scalar as text: itself, the only element of an array, or the member ``value`` of an object that wraps it."""
+    v = F.when(kind.isin("array", "object"), F.try_parse_json(value))
+    inner = F.when((kind == "array") & F.try_variant_get(v, "$[1]", "variant").isNull(), F.try_variant_get(v, "$[0]", "variant")).when(kind == "object", F.try_variant_get(v, "$.value", "variant"))
+    of = F.schema_of_variant(inner)
+    inner = F.when(of == "STRING", inner.cast("string")).when(~of.rlike("^(ARRAY|OBJECT|VOID)"), F.to_json(inner))
+    return F.when(kind.isin("array", "object"), inner).otherwise(value)
+
+
+def _as_kind(to: Column, kind: Column, value: Column, plain: Column) -> Column:
+    """``value`` as text of the kind ``to``, or null where it can't be brought to it without a guess."""
+    number = F.when(plain.rlike(NUMBER), plain.try_cast("double")).when(kind == "boolean", (plain == "true").cast("double"))
+    integer = F.when((number == F.rint(number)) & plain.rlike(NUMBER), F.trim(plain).try_cast("decimal(38,0)").cast("string")).when(kind == "boolean", number.cast("int").cast("string"))
+    truth = F.when((F.lower(F.trim(plain)) == "true") | (number == 1), "true").when((F.lower(F.trim(plain)) == "false") | (number == 0), "false")
+    items = F.from_json(F.when(F.schema_of_variant(F.when(kind == "array", F.try_parse_json(value))) == "ARRAY<STRING>", value), "array<string>")
+    joined = F.when(value == "[]", "").when(~F.exists(items, lambda x: x.isNull() | x.contains(";")), F.array_join(items, ";"))
+    parts = F.to_json(F.filter(F.transform(F.split(plain, ";"), lambda x: F.trim(x)), lambda x: x != ""))
+    listed = F.when(kind == "array", value).when(kind.isin("integer", "decimal", "boolean"), F.concat(F.lit("["), value, F.lit("]"))).otherwise(parts)
+    out = F.when(to == "string", F.when((kind == "array") & plain.isNull(), joined).otherwise(plain))
+    return out.when(to == "integer", integer).when(to == "decimal", number.cast("string")).when(to == "boolean", truth).when(to == "array", listed).when((to == "object") & (kind == "object"), value)
+
+
+def _alike(nodes: DataFrame) -> DataFrame:
+    """a, b, weight of the pairs of names whose profiles of one kind are alike.
+
+    The values of a boolean tell nothing across feeds, so there the names alone count.
+    """
+    cols = ["shapes", "tokens", "low", "high"]
+    one, two = (nodes.select("kind", *[F.col(c).alias(f"{p}_{c}") for c in ("key", *cols)]) for p in "ab")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            got = []
+            for r in pdf.to_dict("records"):
+                a, b = ({"key": r[f"{p}_key"], "shapes": dict(r[f"{p}_shapes"] or {}), "tokens": () if r[f"{p}_tokens"] is None else list(r[f"{p}_tokens"]), "low": r[f"{p}_low"], "high": r[f"{p}_high"]} for p in "ab")
+                na, nb = _name_parts(a["key"]), _name_parts(b["key"])
+                got.append((a["key"], b["key"], len(na & nb) / max(1, len(na | nb)) if r["kind"] == "boolean" else likeness(r["kind"], a, b)))
+            yield pd.DataFrame(got, columns=["a", "b", "weight"])
+
+    pairs = one.join(two, "kind").where("a_key < b_key").mapInPandas(run, "a string, b string, weight double")
+    return pairs.groupBy("a", "b").agg(F.max("weight").alias("weight")).where(F.col("weight") >= ACCEPT)
+
+
+def grouped_names(names: Iterable[str], links: Iterable[tuple[str, str, float]], apart: Iterable[tuple[str, str]]) -> list[set[str]]:
+    """Groups of names that stand for one field: strongest links first, never two names of ``apart`` in one group."""
+    group = {n: n for n in names}
+    members, barred = {n: {n} for n in group}, {n: set() for n in group}
+    for a, b in apart:
+        barred[a].add(b)
+        barred[b].add(a)
+    for a, b, _ in sorted(links, key=lambda e: (-e[2], e[0], e[1])):
+        x, y = group[a], group[b]
+        if x == y or barred[x] & members[y]:
+            continue
+        for n in members[y]:
+            group[n] = x
+        members[x] |= members.pop(y)
+        barred[x] |= barred.pop(y)
+    return list(members.values())
+
+
+def consistent_table(files: DataFrame, outcome: DataFrame, changes: DataFrame) -> DataFrame:
+    """One table of the keys of all feeds and of the outcome: one name and one type for each field.
+
+    ``files`` is what unified_table gives; ``outcome`` are exploded() rows of no feed.  A key of the
+    outcome takes the field that its record's latest file gives it, else its own name.  A name is one
+    field in all feeds.  Names are brought together by the renames of any feed and by the likeness of
+    their profiles, except names that stand side by side in a file; the field is called by its most
+    frequent name and has its most frequent kind, integers with any fraction among them being decimal.
+
+    Returns origin (files or outcome), row_no, feed, file_no, record, field, kind, value, key, raw_kind,
+    raw, failed.  ``failed`` marks values that can't be brought to the field's kind: their value is
+    null, ``raw`` keeps them.  A JSON null stays null and is no failure.
+    """
+    spark = files.sparkSession
+    known = files.where("record is not null").groupBy("record", "key").agg(F.max(F.struct("file_no", "feed", "field")).alias("at")).select("record", "key", F.col("at.field").alias("field"))
+    late = outcome.join(known, ["record", "key"], "left").withColumn("field", F.coalesce("field", "key")).withColumn("origin", F.lit("outcome"))
+    rows = files.withColumn("origin", F.lit("files")).unionByName(late)
+    rows = materialise(rows.withColumn("plain", _plain(F.col("kind"), F.col("value"))), "resolved")
+    number = F.when(F.col("plain").rlike(NUMBER), F.col("plain").try_cast("double"))
+    counts = {r["field"]: r.asDict() for r in rows.groupBy("field").agg(F.count("*").alias("n"), F.coalesce(F.sum((number != F.rint(number)).cast("long")), F.lit(0)).alias("n_frac"), *_kind_counts(F.lit(1))).collect()}
+    # a row of no file is a file of its own
+    unit = F.when((F.col("origin") == "files") & F.col("feed").isNotNull() & F.col("file_no").isNotNull(), F.to_json(F.struct("feed", "file_no"))).otherwise(F.concat_ws(" ", "origin", "row_no"))
+    stands = rows.select(unit.alias("unit"), "field").distinct()
+    apart = stands.withColumnRenamed("field", "a").join(stands.withColumnRenamed("field", "b"), "unit").where("a < b").select("a", "b").distinct()
+    main = rows.groupBy(unit.alias("unit"), "field").agg(*_kind_counts(F.lit(1))).select("unit", "field", _main_kind().alias("main")).where("main is not null")
+    nodes = rows.withColumn("unit", unit).join(main, ["unit", "field"]).where("kind = main").select(F.lit("").alias("feed"), F.col("main").alias("file_no"), F.col("field").alias("key"), "kind", "value")
+    renamed = changes.where("change_type = 'renamed'").groupBy(F.col("field_name").alias("a"), F.col("to_name").alias("b")).agg((1.0 + F.count("*")).alias("weight"))
+    links = [tuple(r) for r in renamed.unionByName(_alike(materialise(profiles(nodes).drop("kind").withColumnRenamed("file_no", "kind"), "nodes"))).collect()]
+    names = counts.keys() | {n for a, b, _ in links for n in (a, b)}
+    said = []
+    for group in grouped_names(sorted(names), links, [tuple(r) for r in apart.collect()]):
+        own = [counts[n] for n in sorted(group) if n in counts]
+        if not own:
+            continue
+        field = max(own, key=lambda c: c["n"])["field"]
+        total = {k: sum(c[f"n_{k}"] for c in own) for k in KINDS}
+        kind = max(sorted(KINDS), key=total.get) if any(total.values()) else None
+        if kind == "integer" and (total["decimal"] or sum(c["n_frac"] for c in own)):
+            kind = "decimal"
+        said += [(n, field, kind) for n in sorted(group)]
+    called = spark.createDataFrame(said, "field string, name string, to string")
+    value = _as_kind(F.col("to"), F.col("kind"), F.col("value"), F.col("plain"))
+    out = rows.join(F.broadcast(called), "field").withColumn("cast", value)
+    failed = F.col("value").isNotNull() & F.col("cast").isNull()
+    return out.select("origin", "row_no", "feed", "file_no", "record", F.col("name").alias("field"), F.col("to").alias("kind"), F.col("cast").alias("value"), "key", F.col("kind").alias("raw_kind"), F.col("value").alias("raw"), failed.alias("failed"))

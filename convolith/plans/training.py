@@ -27,8 +27,12 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p5_unified(spark: SparkSession, sf_dir: str) -> DataFrame:
     inputs = table(spark, sf_dir, "session_inputs")
     changes = schema_drift.materialise(schema_drift.schema_changes(inputs), "changes")
-    out = schema_drift.unified_table(inputs, changes)
-    return out.select(F.col("row_no").alias("input_no"), "feed", "file_no", "field", "kind", "value")
+    sessions = table(spark, sf_dir, "sessions").withColumns({"feed": F.lit(None).cast("string"), "file_no": F.lit(None).cast("int")})
+    outcome = schema_drift.exploded(sessions, "feed", "file_no", "session_no", "id", "metadata_json")
+    files = schema_drift.materialise(schema_drift.unified_table(inputs, changes), "files")
+    out = schema_drift.consistent_table(files, outcome, changes)
+    at = lambda origin: F.when(F.col("origin") == origin, F.col("row_no"))
+    return out.select(at("files").alias("input_no"), at("outcome").alias("session_no"), "feed", "file_no", "field", "kind", "value", "key", "raw_kind", "raw", "failed")
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:

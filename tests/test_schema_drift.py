@@ -65,3 +65,47 @@ def test_unified_names_follow_chains(spark):
     found = S.materialise(S.schema_changes(df), "changes")
     got = {(r["file_no"], r["field"]) for r in S.unified_table(df, found).collect()}
     assert got == {(1, "branchName"), (2, "branchName"), (3, "branchName")}
+
+
+def consistent(spark, feeds, sessions=()):
+    """feeds: feed -> files as in inputs(); sessions: (id, dict)"""
+    made = [inputs(spark, files).withColumn("feed", S.F.lit(feed)).withColumn("input_no", S.F.col("input_no") + 1000 * k) for k, (feed, files) in enumerate(feeds.items())]
+    df = made[0]
+    for d in made[1:]:
+        df = df.unionByName(d)
+    found = S.materialise(S.schema_changes(df), "changes")
+    late = spark.createDataFrame([(None, None, n, id, json.dumps(m)) for n, (id, m) in enumerate(sessions)], "feed string, file_no int, n long, id string, m string")
+    return S.consistent_table(S.unified_table(df, found), S.exploded(late, "feed", "file_no", "n", "id", "m"), found)
+
+
+def test_one_name_over_all_feeds_and_the_outcome(spark):
+    a = {1: [(f"a{i}", {"gitBranch": f"x/y{i}", "num": i, "is_archived": i > 3}) for i in range(8)]}
+    b = {1: [(f"b{i}", {"branch": f"x/y{i}", "isPinned": i > 3}) for i in range(6)], 2: [(f"c{i}", {"vcs_ref": f"x/y{i}", "isPinned": i > 3}) for i in range(6)]}
+    sessions = [("a1", {"gitBranch": "x/y1", "num": 1}), ("b1", {"branch": "x/y1"}), ("zz", {"vcs_ref": "x/y9", "unknown": "n"}), ("c1", {"vcs_ref": None})]
+    got = consistent(spark, {"a": a, "b": b}, sessions).collect()
+    assert {r["field"] for r in got} == {"vcs_ref", "num", "is_archived", "isPinned", "unknown"}
+    assert {(r["row_no"], r["field"], r["value"]) for r in got if r["origin"] == "outcome"} == {(0, "vcs_ref", "x/y1"), (0, "num", "1"), (1, "vcs_ref", "x/y1"), (2, "vcs_ref", "x/y9"), (2, "unknown", "n"), (3, "vcs_ref", None)}
+    assert sum(r["origin"] == "files" for r in got) == 24 + 12 + 12 and not any(r["failed"] for r in got)
+
+
+def test_names_side_by_side_stay_apart(spark):
+    both = {1: [(f"a{i}", {"from": f"x/y{i}", "to": f"x/y{i}"}) for i in range(6)]}
+    assert {r["field"] for r in consistent(spark, {"a": both}).collect()} == {"from", "to"}
+    assert sorted(map(sorted, S.grouped_names("abcd", [("a", "b", 3.0), ("b", "c", 2.0), ("c", "d", 1.0)], [("a", "c")]))) == [["a", "b"], ["c", "d"]]
+
+
+def test_one_type_for_each_field(spark):
+    one = {"n": 7, "s": "linux", "t": ["x", "y"], "b": True, "o": {"p": 1}, "d": 1}
+    two = {"n": "12", "s": {"value": "macos", "kind": "auto"}, "t": "x; z", "b": 0, "o": "plain", "d": "2.5"}
+    three = {"n": "many", "s": ["a", "b"], "t": 5, "b": "TRUE", "o": None, "d": "1e1"}
+    four = {"n": 12345678901234567890, "s": {"p": 1}, "t": ["w"], "b": 2, "o": {"p": 2}, "d": False}
+    got = consistent(spark, {"f": {1: [(f"x{i}", one) for i in range(4)] + [("two", two), ("three", three), ("four", four)]}}).where("record in ('x0', 'two', 'three', 'four')").collect()
+    kinds = {r["field"]: r["kind"] for r in got}
+    assert kinds == {"n": "integer", "s": "string", "t": "array", "b": "boolean", "o": "object", "d": "decimal"}
+    values = {(r["record"], r["field"]): r["value"] for r in got}
+    row = lambda record: [values[record, f] for f in "nstbod"]
+    assert row("x0") == ["7", "linux", '["x","y"]', "true", '{"p":1}', "1.0"]
+    assert row("two") == ["12", "macos", '["x","z"]', "false", None, "2.5"]
+    assert row("three") == [None, "a;b", "[5]", "true", None, "10.0"]
+    assert row("four") == ["12345678901234567890", None, '["w"]', None, '{"p":2}', "0.0"]
+    assert {(r["record"], r["field"], r["raw"]) for r in got if r["failed"]} == {("three", "n", "many"), ("two", "o", "plain"), ("four", "s", '{"p":1}'), ("four", "b", "2")}
