@@ -121,9 +121,8 @@ def features(text: str) -> tuple[float, ...]:
     keyword = size["loose"] if listed else beside
     size["other"] = size["loose"] - keyword
     total = sum(size[k] for k in ("sentence", "link", "tag", "product", "code", "other")) + keyword or 1
-    visible = text[:4000] if len(text) > 4000 else text
-    upper = sum(map(str.isupper, visible)) / max(1, len(visible))
-    digits = sum(map(str.isdigit, visible)) / max(1, len(visible))
+    upper = sum(map(str.isupper, text)) / max(1, len(text))
+    digits = sum(map(str.isdigit, text)) / max(1, len(text))
     share = (marked + keyword) / total
     return (size["sentence"] / total, size["link"] / total, size["tag"] / total, size["product"] / total, keyword / total, size["code"] / total, size["other"] / total, distinct, pairs, top, min(400.0, len(text) / max(1, n_lines)), n_links / max(1, n_lines), upper, digits, share)
 

@@ -90,6 +90,11 @@ def test_shares():
         assert S.features(t)[-1] < 0.5, t
 
 
+def test_letters_and_digits_of_the_whole_text():
+    got = dict(zip(S.FEATURES, S.features("word " * 1000 + "ABC12 " * 1000), strict=False))
+    assert abs(got["upper"] - 3000 / 11000) < 1e-9 and abs(got["digits"] - 2000 / 11000) < 1e-9
+
+
 def test_trees_on_held_out_rows():
     rng = np.random.default_rng(0)
     x = rng.random((1200, 4))
