@@ -262,13 +262,25 @@ def _aligned(sentence: str) -> str | None:
     return kind
 
 
+def _sentences(text: str) -> Iterator[str]:
+    at = 0
+    for end in _SENTENCE.finditer(text):
+        yield text[at : end.start()]
+        at = end.end()
+    yield text[at:]
+
+
 def _is_refusal(reply: str) -> bool:
     """At least one sentence declines, and none says anything else."""
-    if len(reply) > 600:
-        return False
-    sentences = [s for s in _SENTENCE.split(reply) if s and _TOKEN.search(s)]
-    kinds = [_aligned(s) or ("personal" if _PERSONAL.search(s) and len(s) < 120 else None) for s in sentences]
-    return "refusal" in kinds and None not in kinds
+    refuses = False
+    for sentence in _sentences(reply):  # ends at the first one that says something else
+        if not _TOKEN.search(sentence):
+            continue
+        kind = _aligned(sentence)
+        if kind is None and not (len(sentence) < 120 and _PERSONAL.search(sentence)):
+            return False
+        refuses = refuses or kind == "refusal"
+    return refuses
 
 
 def _is_empty(reply: str) -> bool:

@@ -99,3 +99,12 @@ def test_pairing(spark):
     expected = {(1, 4, "empty"), (6, 8, "copied_question"), (13, 14, "empty")}
     assert {tuple(r) for r in P.broken_pairs(df).collect()} == expected
     assert {tuple(r) for r in P.broken_pairs(df.limit(0)).collect()} == set()
+
+
+def test_long_refusals():
+    one = P.REFUSALS[0] + "\n"
+    for reply in (one * 40, one + " " * 2000 + "\n" + one, (one + P.COURTESIES[0] + "\n") * 30):
+        assert len(reply) > 600 and P.defect("Name the capital of Peru, please.", reply) == "refusal"
+        assert P.defect("Name the capital of Peru, please.", reply + "The capital is called Lima and lies by the sea.") is None
+    for text in ("", "a. b! c", "\n\na\n", "。a。b", "x.  \n y"):
+        assert list(P._sentences(text)) == P._SENTENCE.split(text)
