@@ -20,6 +20,11 @@ def p4_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return full.select("session_id", "id", F.array_join("path", "/").alias("path"))
 
 
+def p4_descendants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    messages = table(spark, sf_dir, "messages").select("session_id", "id", "parent_id")
+    return hierarchy.descendants(messages, "session_id", "id", "parent_id")
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return schema_drift.schema_changes(table(spark, sf_dir, "session_inputs"))
 
@@ -40,7 +45,7 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return delivery.surplus_copies(events, F.col("session_id"), F.col("message.id"), "event_no", F.col("batch_no"))
 
 
-QUERIES = {"p4_found": p4_found, "p4_paths": p4_paths, "p5_found": p5_found, "p5_unified": p5_unified, "p6_found": p6_found}
+QUERIES = {"p4_found": p4_found, "p4_paths": p4_paths, "p4_descendants": p4_descendants, "p5_found": p5_found, "p5_unified": p5_unified, "p6_found": p6_found}
 
 _TREE = """
 nodes AS (SELECT session_id, id, min(parent_id) AS parent_id FROM messages WHERE id IS NOT NULL GROUP BY session_id, id),

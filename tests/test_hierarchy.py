@@ -74,3 +74,12 @@ def test_defined_cases(spark):
     got = {(r[0], r[1]): tuple(r[2:]) for r in H.hierarchies(df, "tree", "id", "parent").collect()}
     assert got == {(None, "a"): ("a", 0, 1), (None, "b"): ("a", 1, 0), ("t", "a"): ("b", 1, 0), ("t", "b"): ("b", 0, 1)}
     assert H.hierarchies(df.limit(0), "tree", "id", "parent").count() == 0
+
+
+def test_registered_descendants(spark, tmp_path):
+    from convolith.plans import training
+
+    rows = [("s", "a", None), ("s", "b", "a"), ("s", "c", "b"), ("s", "d", "a"), ("t", "x", "y"), ("t", "y", "x")]
+    spark.createDataFrame(rows, "session_id string, id string, parent_id string").write.parquet(str(tmp_path / "messages.parquet"))
+    got = {tuple(r) for r in training.QUERIES["p4_descendants"](spark, str(tmp_path)).collect()}
+    assert got == {("s", "a", "b", 1), ("s", "a", "c", 2), ("s", "b", "c", 1), ("s", "a", "d", 1)}
