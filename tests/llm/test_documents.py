@@ -83,6 +83,11 @@ FINE = [
 ]
 
 
+def test_long_tags_are_blanked():
+    tag = '<a href="https://example.org/' + "x" * 5000 + '">'
+    assert L.unmarked(f"one {tag}two</a>") == "one " + L._BLANK * len(tag) + "two" + L._BLANK * 4
+
+
 def test_shares():
     for t in SPAM:
         assert S.features(t)[-1] > 0.5, t
