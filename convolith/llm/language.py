@@ -14,10 +14,14 @@ SMALL_WORDS = {
     "pt": "o os as um uma e é de que não por com para do da em no na se como mais mas também quando antes depois são foi sem este porque você",
     "nl": "de het een en is van dat niet op te met voor zijn er aan als maar ook bij wordt werd naar wij hebben voordat omdat kan moet zonder dan deze",
 }
-_WORDS = {lang: frozenset(words.split()) for lang, words in SMALL_WORDS.items()}
+_SPEAKS: dict[str, list[str]] = {}
+for _lang, _small in SMALL_WORDS.items():
+    for _w in set(_small.split()):
+        _SPEAKS.setdefault(_w, []).append(_lang)
 #: Letters that speak for a language.
 LETTERS = {"de": "äöüß", "es": "ñ¿¡áíóú", "fr": "éèêàçùîôœ", "it": "èìòù", "pt": "ãõçáêô", "nl": "ĳ"}
 _SCRIPTS = (("zh", re.compile(r"[㐀-鿿]")), ("ja", re.compile(r"[぀-ヿ]")), ("ko", re.compile(r"[가-힯]")), ("ru", re.compile(r"[Ѐ-ӿ]")), ("ar", re.compile(r"[؀-ۿ]")), ("el", re.compile(r"[Ͱ-Ͽ]")), ("he", re.compile(r"[֐-׿]")), ("th", re.compile(r"[฀-๿]")), ("hi", re.compile(r"[ऀ-ॿ]")))
+_BEYOND_LATIN = re.compile(r"[^\x00-\u024f\u2000-\u206f]")
 _LATIN = re.compile(r"[A-Za-zÀ-ɏ]")
 _CODE = re.compile(r"```.*?(?:```|\Z)|`[^`\n]*`|https?://\S+|\S+@\S+", re.S)
 _WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)?")
@@ -40,22 +44,28 @@ _ASKED = re.compile("|".join(rf"(?P<{lang}>{'|'.join(names.split())})" for lang,
 
 def language(text: str) -> str | None:
     """A language code, or None where the text says too little to tell."""
-    text = _CODE.sub(" ", text)
-    counts = {lang: len(pattern.findall(text)) for lang, pattern in _SCRIPTS}
-    latin = len(_LATIN.findall(text))
-    lang, n = max(counts.items(), key=lambda x: x[1])
-    if counts["ja"] * 5 > counts["zh"] + counts["ja"] > 0:
-        lang, n = "ja", counts["ja"] + counts["zh"]
-    dense = 2.5 if lang in ("zh", "ja", "ko") else 1
-    if n >= 3 and n * dense > latin:
-        return lang
-    if latin < 8:
+    if "`" in text or "@" in text or "://" in text:
+        text = _CODE.sub(" ", text)
+    if _BEYOND_LATIN.search(text):
+        latin = len(_LATIN.findall(text))
+        counts = {lang: len(pattern.findall(text)) for lang, pattern in _SCRIPTS}
+        lang, n = max(counts.items(), key=lambda x: x[1])
+        if counts["ja"] * 5 > counts["zh"] + counts["ja"] > 0:
+            lang, n = "ja", counts["ja"] + counts["zh"]
+        dense = 2.5 if lang in ("zh", "ja", "ko") else 1
+        if n >= 3 and n * dense > latin:
+            return lang
+    lowered = text.lower().replace("’", "'")
+    words = _WORD.findall(lowered)
+    if sum(map(len, words)) < 8:
         return None
-    words = [w.lower().replace("’", "'") for w in _WORD.findall(text)]
-    score = {k: float(sum(w in small for w in words)) for k, small in _WORDS.items()}
-    lowered = text.lower()
-    for k, letters in LETTERS.items():
-        score[k] += 0.5 * min(4, sum(lowered.count(c) for c in letters))
+    score = dict.fromkeys(SMALL_WORDS, 0.0)
+    for w in words:
+        for k in _SPEAKS.get(w, ()):
+            score[k] += 1
+    if not text.isascii():
+        for k, letters in LETTERS.items():
+            score[k] += 0.5 * min(4, sum(map(lowered.count, letters)))
     order = sorted(score.items(), key=lambda x: -x[1])
     if order[0][1] < 2 or order[0][1] < 1.25 * order[1][1]:
         return None

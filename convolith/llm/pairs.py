@@ -2,7 +2,7 @@
 
 Pairs are formed by the order of messages in their session; each is then aligned, token by token: the
 reply against its prompt (shingle containment and longest common subsequence) to find copies, and
-each of its sentences against refusal templates to find refusals.  Empty, truncated and wrong-language
+each of its sentences against refusal frames to find refusals.  Empty, truncated and wrong-language
 replies are told by what is visible, by how the text ends and by the languages of both sides.
 """
 
@@ -17,192 +17,30 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from convolith.llm.language import language, languages_asked
+from convolith.llm.personal import Gazetteer, candidates
+from convolith.llm.refusals import is_refusal, lcs_length, may_refuse, sentences, tokens
 from convolith.operators.ordering import next_row
 
 REPLY_ROLES = ("model", "assistant")
 SHINGLE = 3
 COPIED = 0.8  # least containment of the reply's shingles, and least share of the prompt in the common subsequence
-ALIGNED = 0.7  # least share of a refusal template, and of a sentence, in their common subsequence
 
 #: Replies that say nothing, without punctuation, white space and letter case.
 FILLERS = frozenset("null none nil na nan undefined void empty blank noresponse noanswer nooutput nocontent nodata noreply nothing tbd todo tba placeholder missing keineantwort leer nichts keine sansréponse aucuneréponse vide rien sinrespuesta vacío vacio nada нетответа пусто ничего 无 空 没有回答 无回答 暂无 暂无回答 notapplicable emptyresponse emptymessage emptyreply noresponsegenerated responsemissing deleted removed inserttexthere xxx".split())
 
-#: Ways to decline; a gap of any few words is written as *.
-REFUSALS = tuple(
-    re.sub(r"\s+", " ", line).strip()
-    for line in """
-i'm sorry but i can't help with that
-i'm sorry but i can't help you with this request
-i'm sorry i cannot assist with this request
-i can't assist with that
-i cannot help with this
-i can't do that
-i'm unable to help with that
-i am unable to assist with this request
-i'm not able to help with that
-unfortunately i am not able to provide that information
-unfortunately i can't provide that
-i can't provide that information
-i cannot provide an answer to that question
-i can't share that
-sorry this falls outside what i may discuss
-sorry that is outside what i can discuss
-this is beyond what i can help with
-i would rather not respond to this
-i'd rather not answer that
-i prefer not to answer this
-as an ai model i don't have permission to answer this
-as an ai language model i cannot answer this
-as an ai i can't help with that
-as an ai language model i am not able to do that
-that is something i have to decline
-i have to decline this request
-i must decline to answer
-i must decline
-i decline to answer this
-my apologies but no answer can be given to this kind of question
-apologies but i can't answer that
-this request can't be fulfilled for policy reasons
-your request cannot be processed due to our policy
-i won't be able to do that as it goes against my guidelines
-i won't answer this
-i will not answer that question
-that goes against my guidelines
-this violates my guidelines
-i'm not allowed to answer this
-i am not allowed to discuss that
-i'm not permitted to help with this
-i must refuse this one
-i have to refuse this request
-i refuse to answer
-i'm afraid i can't help with that
-i'm afraid i can't do that
-i regret that i cannot answer this
-i'm not comfortable answering this
-i do not feel comfortable with this request
-no answer can be given here
-i can't answer that question
-i can't comply with this request
-i'm sorry but i won't be answering this question
-dazu darf ich keine auskunft geben
-es tut mir leid dabei kann ich nicht helfen
-tut mir leid das kann ich nicht beantworten
-leider kann ich diese frage nicht beantworten
-leider kann ich ihnen dabei nicht helfen
-diese anfrage muss ich leider ablehnen
-das muss ich ablehnen
-ich kann diese anfrage nicht bearbeiten
-ich darf diese frage nicht beantworten
-darauf möchte ich nicht antworten
-ich kann ihnen dazu nichts sagen
-je suis désolé je ne peux pas vous aider
-désolé je ne peux pas répondre à cette question
-je ne peux pas vous aider avec cela
-je ne peux pas répondre à cette demande
-je dois décliner cette demande
-je dois refuser cette demande
-je ne suis pas autorisé à répondre
-malheureusement je ne peux pas fournir cette information
-je préfère ne pas répondre
-lo siento no puedo ayudarte con eso
-lo siento no puedo responder a esa pregunta
-lamentablemente no puedo dar esa información
-no puedo ayudarle con esta solicitud
-no puedo responder a esta pregunta
-debo rechazar esta petición
-tengo que rechazar esta solicitud
-no estoy autorizado a responder
-prefiero no responder
-извините я не могу помочь с этим
-к сожалению я не могу ответить на этот вопрос
-я не могу выполнить этот запрос
-я не могу ответить на этот вопрос
-я вынужден отказаться
-мне придётся отклонить этот запрос
-я должен отказать в этой просьбе
-мне не разрешено отвечать на это
-抱歉我无法帮助处理这个请求
-抱歉我不能帮你
-抱歉我无法回答这个问题
-很遗憾我不能回答这个问题
-对不起我不能回答这个问题
-对不起我无法提供帮助
-我无法满足这个请求
-我必须拒绝这个请求
-我不能提供这些信息
-这个请求我只能拒绝
-""".splitlines()
-    if line.strip()
-)
-#: What may follow or precede a refusal without being an answer.
-COURTESIES = tuple(
-    line.strip()
-    for line in """
-is there anything else you need
-is there anything else i can help you with
-if you like we can talk about another topic
-please ask about something else
-please ask me something else
-feel free to ask about something else
-let me know if there is something else
-can i help you with something else
-i can help with other questions
-please try another question
-i'm sorry
-sorry
-i apologise for that
-thank you for your understanding
-i hope you understand
-kann ich sonst noch helfen
-bitte fragen sie etwas anderes
-gerne können wir über ein anderes thema sprechen
-y a t il autre chose
-posez moi une autre question
-nous pouvons parler d'autre chose
-puedo ayudarle con otra cosa
-podemos hablar de otro tema
-pregunte otra cosa
-могу ли я помочь чем то ещё
-давайте поговорим о другом
-задайте другой вопрос
-还有什么可以帮您
-请问别的问题
-我们可以聊别的话题
-""".splitlines()
-    if line.strip()
-)
-
-_TOKEN = re.compile(r"[㐀-鿿぀-ヿ]|[^\W_㐀-鿿぀-ヿ]+(?:['’][^\W_]+)*")
 _INVISIBLE = re.compile(r"[\s​-‏⁠-⁤﻿­͏ ‪-‮⠀ㅤ]+")
+_SAYS_MORE = re.compile(rf"(?:[\W_]*[^\W_]){{{1 + max(map(len, FILLERS))}}}")  # more letters and digits than any filler has
 _MARKUP = re.compile(r"</?[A-Za-z][^<>]*>|&nbsp;|&#160;")
-_SENTENCE = re.compile(r"(?<=[.!?…])[\"'”’)]*\s+|(?<=[。！？])|\n+")
 _FINISHED = re.compile(r"[.!?…。！？．‼⁇⁉؟।][\s\"'”’»)\]}*_`~>|]*$|[`\]})»”\">|]$|[\U0001F300-\U0001FAFF☺-➿]$")
 _ITEM = re.compile(r"^\s*(?:[-*•+]|\d{1,3}[.)]|[a-z][.)])\s+(.*)$")
-_LABEL = re.compile(r"^\W*(?:[^\W\d][\w ]{1,24}\.?\s?:\s?\S.{0,90}|[^\W\d][^\W\d ]*(?: [^\W\d ]+){0,3},\s+[^\W\d][^\d,]{1,40}|mailto:\S.*|[\w.+-]+@[\w.-]+|[+(]?\d[\d ()/.-]{5,})$")
-_PERSONAL = re.compile(r"@|\b(?:at|dot)\b.*\bdot\b|(?:\d[\s()/.-]*){6}|[A-ZÀ-Þ][\w'’-]+ (?:[A-Z]\. )?(?:(?:van|von|de|der|di|da|del|la) )*[A-ZÀ-Þ][\w'’-]+|\b[A-Z]\. [A-ZÀ-Þ]|\b\d{1,3} [A-Z]")
-_NAMED = re.compile(r"(?:[A-ZÀ-Þ][\w'’-]+|[A-Z]\.) (?:[A-Z]\. )?(?:(?:van|von|de|der|di|da|del|la) )*[A-ZÀ-Þ][\w'’-]+")
-_NUMBERED = re.compile(r"\S@\S|\b(?:at|dot)\b.*\bdot\b|(?:\d[\s()/.-]*){6}|\b[A-Z]?\d{6,}|\b\d{1,3}[A-Za-z]? (?:[A-Z][\w'’-]+ )+(?:St|Street|Road|Lane|Avenue|Drive|Terrace|Crescent|Row|Wharf|Blvd|Close)\b|\b\d{1,3},? (?:rue|avenue|boulevard)\b|(?:gasse|straße|allee|[Rr]ing|weg|platz) \d{1,3}\b")
+_MARKER = re.compile(r"[-*•+]|\d{1,3}[.)]|[a-z][.)]")
+#: A line that names a thing and gives it: a field of a form or a letter head.
+_FIELD = re.compile(r"^\W*[^\W\d][\w ]{1,24}\.?\s?:\s?\S.{0,90}$")
+_NOBODY = Gazetteer([])
 #: Small words no finished text ends with.
 _OPEN_WORDS = frozenset("the a an and or but of to in on at by for from with that which as than if when while because is are was were be not no its their der die das und oder zu mit auf für von dass bevor weil le la les de du des et ou que qui un une dans pour avec el los las y o del al por con para и или но что чем когда если в на с к по за не".split())
 
 
-def tokens(text: str) -> list[str]:
-    return [t.casefold().replace("’", "'") for t in _TOKEN.findall(text)]
-
-
-def lcs_length(a: list[str], b: list[str]) -> int:
-    """Length of the longest common subsequence, by bit-parallel rows: whole texts, no cut."""
-    at: dict[str, int] = {}
-    for i, t in enumerate(a):
-        at[t] = at.get(t, 0) | 1 << i
-    full = (1 << len(a)) - 1
-    row = full
-    for t in b:
-        m = row & at.get(t, 0)
-        row = (row + m | row - m) & full
-    return len(a) - row.bit_count()
-
-
 def containment(part: list[str], whole: list[str], n: int = SHINGLE) -> float:
     """Share of the shingles of ``part`` that occur in ``whole``."""
     n = min(n, len(part))
@@ -214,8 +52,9 @@ def containment(part: list[str], whole: list[str], n: int = SHINGLE) -> float:
 
 
 def _is_copy(prompt: list[str], reply: list[str]) -> bool:
-    if not prompt or not reply or not set(prompt) & set(reply):
-        return False
+    known = set(prompt)
+    if not prompt or not reply or sum(t in known for t in reply) < 0.5 * (len(reply) - SHINGLE + 1):
+        return False  # too few words for half of the shingles
     inside = containment(reply, prompt)
     if inside < 0.5:
         return False
@@ -229,62 +68,17 @@ def _is_copy(prompt: list[str], reply: list[str]) -> bool:
     return inside >= COPIED or common >= COPIED * len(reply)
 
 
-def _template_words() -> tuple[list[tuple[list[str], bool]], dict[str, list[int]]]:
-    made = [(tokens(t), True) for t in REFUSALS] + [(tokens(t), False) for t in COURTESIES]
-    index: dict[str, list[int]] = {}
-    for k, (words, _) in enumerate(made):
-        for w in set(words):
-            index.setdefault(w, []).append(k)
-    return made, index
-
-
-_TEMPLATES, _TEMPLATE_INDEX = _template_words()
-
-
-def _aligned(sentence: str) -> str | None:
-    """'refusal' or 'courtesy' if the sentence follows a template from end to end."""
-    words = tokens(sentence)
-    if not words or len(words) > 30:
-        return None
-    votes: dict[int, int] = {}
-    for w in set(words):
-        for k in _TEMPLATE_INDEX.get(w, ()):
-            votes[k] = votes.get(k, 0) + 1
-    best, kind = 0.0, None
-    for k, n in votes.items():
-        template, refusal = _TEMPLATES[k]
-        if n < ALIGNED * len(set(template)) * 0.9:
-            continue
-        common = lcs_length(template, words)
-        fit = 2 * common / (len(template) + len(words))
-        if common >= ALIGNED * len(template) and common >= ALIGNED * len(words) and fit > best:
-            best, kind = fit, "refusal" if refusal else "courtesy"
-    return kind
-
-
-def _sentences(text: str) -> Iterator[str]:
-    at = 0
-    for end in _SENTENCE.finditer(text):
-        yield text[at : end.start()]
-        at = end.end()
-    yield text[at:]
-
-
-def _is_refusal(reply: str) -> bool:
-    """At least one sentence declines, and none says anything else."""
-    refuses = False
-    for sentence in _sentences(reply):  # ends at the first one that says something else
-        if not _TOKEN.search(sentence):
-            continue
-        kind = _aligned(sentence)
-        if kind is None and not (len(sentence) < 120 and _PERSONAL.search(sentence)):
-            return False
-        refuses = refuses or kind == "refusal"
-    return refuses
+def _contact(sentence: str) -> bool:
+    """The sentence gives contact details or speaks of a person, and so answers nothing."""
+    found = candidates(sentence, _NOBODY)
+    return any(kind != "name" or form == 1 for kind, _, _, _, _, form, *_ in found)
 
 
 def _is_empty(reply: str) -> bool:
-    text = _INVISIBLE.sub("", _MARKUP.sub("", reply))
+    text = _MARKUP.sub("", reply) if "<" in reply or "&" in reply else reply
+    if _SAYS_MORE.match(text):
+        return False
+    text = _INVISIBLE.sub("", text)
     bare = "".join(c for c in text if unicodedata.category(c)[0] in "LN").lower()
     return not bare and not any(unicodedata.category(c) == "So" for c in text) or bare in FILLERS
 
@@ -294,11 +88,13 @@ def _is_truncated(reply: str) -> bool:
     if text.count("```") % 2:
         return True
     lines = [x for x in text.split("\n") if x.strip()]
-    while len(lines) > 1 and not _FINISHED.search(lines[-1].strip()) and _LABEL.match(lines[-1].strip()):
+    while len(lines) > 1 and not _FINISHED.search(lines[-1].strip()) and (_FIELD.match(lines[-1].strip()) or _contact(lines[-1])):
         lines.pop()
     if not lines:
         return False
     last = lines[-1].strip()
+    if len(lines) > 1 and _MARKER.fullmatch(last):  # a list that stops at the mark of its next item
+        return True
     if _FINISHED.search(last):
         return False
     item = _ITEM.match(last)
@@ -325,19 +121,18 @@ def _is_truncated(reply: str) -> bool:
         return True
     if len(words) <= 4 and not re.search(r"[㐀-鿿]", text):
         return False
-    sentences = [s for s in _SENTENCE.split("\n".join(lines)) if s.strip()]
-    tail = tokens(sentences[-1])
-    rest = sentences[:-1]
-    if len(tail) <= 4 and sentences[-1].strip()[:1].isupper() and rest and all(_NUMBERED.search(s) or language(s) != "de" and _NAMED.search(s) for s in rest):
-        return False
-    return not (len(sentences) == 1 and _LABEL.match(last))
+    parts = [s for s in sentences("\n".join(lines)) if s.strip()]
+    tail, rest = parts[-1].strip(), parts[:-1]
+    if not rest:
+        return not (_FIELD.match(last) or _contact(last))
+    return not (len(tokens(tail)) <= 4 and tail[:1].isupper() and all(map(_contact, rest)))
 
 
 def _is_other_language(prompt: str, reply: str) -> bool:
     b = language(reply)
     if b is None:
         return False
-    a = language(prompt) or language(next((s for s in _SENTENCE.split(prompt) if s.strip()), ""))
+    a = language(prompt) or language(next((s for s in sentences(prompt) if s.strip()), ""))
     return a is not None and a != b and b not in languages_asked(prompt)
 
 
@@ -347,10 +142,11 @@ def defect(prompt: str | None, reply: str | None) -> str | None:
     prompt = unicodedata.normalize("NFC", prompt or "")
     if _is_empty(reply):
         return "empty"
-    if _is_refusal(reply):
-        return "refusal"
-    if _is_copy(tokens(prompt), tokens(reply)):
+    words = tokens(reply)
+    if _is_copy(tokens(prompt), words):
         return "copied_question"
+    if may_refuse(words) and is_refusal(prompt, reply, _contact):
+        return "refusal"
     if _is_other_language(prompt, reply):
         return "other_language"
     if _is_truncated(reply):

@@ -102,7 +102,7 @@ def test_pairing(spark):
 
 
 def test_long_refusals():
-    one = P.REFUSALS[0] + "\n"
+    one = "I cannot help with that.\n"
     for reply in (one * 40, one + " " * 2000 + "\n" + one, (one + P.COURTESIES[0] + "\n") * 30):
         assert len(reply) > 600 and P.defect("Name the capital of Peru, please.", reply) == "refusal"
         assert P.defect("Name the capital of Peru, please.", reply + "The capital is called Lima and lies by the sea.") is None
