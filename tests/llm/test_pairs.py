@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import pytest
 from convolith.llm import pairs as P
+from convolith.llm import refusals
 from convolith.llm.language import language, languages_asked
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -103,8 +104,8 @@ def test_pairing(spark):
 
 def test_long_refusals():
     one = "I cannot help with that.\n"
-    for reply in (one * 40, one + " " * 2000 + "\n" + one, (one + P.COURTESIES[0] + "\n") * 30):
+    for reply in (one * 40, one + " " * 2000 + "\n" + one, (one + "Is there anything else you need?\n") * 30):
         assert len(reply) > 600 and P.defect("Name the capital of Peru, please.", reply) == "refusal"
         assert P.defect("Name the capital of Peru, please.", reply + "The capital is called Lima and lies by the sea.") is None
     for text in ("", "a. b! c", "\n\na\n", "。a。b", "x.  \n y"):
-        assert list(P._sentences(text)) == P._SENTENCE.split(text)
+        assert list(refusals.sentences(text)) == refusals._SENTENCE.split(text)
