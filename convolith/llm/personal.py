@@ -1,18 +1,21 @@
 """Personal information inside free text, by aggregated weak supervision.
 
 Candidate spans are proposed by patterns and by a gazetteer of name parts.  Labelers of three kinds -
-patterns, gazetteer, context - vote yes, no or nothing on each candidate.  Expectation-maximisation
+patterns, gazetteer, context - vote yes, no or nothing on each candidate.  The context labelers are not
+listed but learnt: the words on either side of a span get the odds that spans there are mentions, first
+from candidates whose form alone is telling, then again from the posteriors.  Expectation-maximisation
 over the counts of vote patterns (all data, a bounded number of patterns) estimates how reliable each
 labeler is for each type and how likely each pattern is a mention.  On those soft labels a logistic
 span classifier over votes and pairs of votes is trained; it decides, and overlaps go to the better
-span.  Names beyond the gazetteer are helped by a word's company: parts seen beside a known name.
+span.  Names beyond the gazetteer are helped by a word's company - parts seen beside a known name - and,
+where they aren't written with capitals, proposed by the phrases that were learnt to come before names.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, partial
 
 import numpy as np
 import pandas as pd
@@ -23,7 +26,11 @@ from convolith.llm.language import SMALL_WORDS
 from convolith.shared import materialise
 
 TYPES = ("email", "phone", "identity_number", "street_address", "name")
-VOTES = ("v_form", "v_check", "v_known", "v_before", "v_after", "v_words", "v_company")
+VOTES = ("v_form", "v_check", "v_known", "v_label", "v_left", "v_right", "v_words", "v_company")
+SUPPORT = 3  # least spans a context must stand beside to vote
+TELLING = 1.0  # least log-odds, for or against, of a context that votes
+PHRASE_SHARE = 1e-4  # least share of the name candidates a phrase stands before to propose names; so there are at most 20 000
+ROUNDS = 2  # of learning contexts
 PLACEHOLDERS = {t: f"[{t.upper()}]" for t in TYPES}
 NAME_PARTS_BYTES = 64 << 20  # most bytes of gazetteer that are broadcast
 ORDINARY_LEAST = 3  # lower-case uses that make a word ordinary
@@ -38,12 +45,13 @@ _PHONES = (
     (1, re.compile(r"(?<!\d)00[1-9]\d(?:[ ./-]?\(\d{1,4}\))?(?:[ ./-]?\d{2,7}){1,5}")),
     (1, re.compile(r"\(\+?\d{2,5}\)[ .-]?\d{3,5}(?:[ .-]\d{2,5}){0,3}")),
     (1, re.compile(r"(?<!\d)(?:1[ .-])?\d{3}([ .-])\d{3}\1\d{4}")),
-    (1, re.compile(r"(?<!\d)0\d{1,5}[ /-]\d{3,8}(?:[ -]\d{1,5}){0,3}")),
+    (0, re.compile(r"(?<!\d)0\d{1,5}[ /-]\d{3,8}(?:[ -]\d{1,5}){0,3}")),
     (1, re.compile(r"(?<!\d)0\d(?:[ .]\d{2}){4}")),
     (0, re.compile(r"(?<!\d)0\d{9,10}")),
     (0, re.compile(r"(?<!\d)[6-9]\d{2} \d{3} \d{3}")),
     (0, re.compile(r"(?<!\d)\d{3}[ -]\d{4}")),
     (0, re.compile(r"(?<!\d)\d{10,11}")),
+    (-1, re.compile(r"(?<!\d)\d(?:[ .-]?\d){6,14}(?!\d)")),
 )
 _IDS = (
     (1, re.compile(r"\d{3}-\d{2}-\d{4}")),
@@ -56,6 +64,7 @@ _IDS = (
     (0, re.compile(r"[A-Z]{1,2}\d{6,9}")),
     (0, re.compile(r"\d{3} \d{3} \d{3}")),
     (0, re.compile(r"\d{9}|\d{11}")),
+    (-1, re.compile(r"(?<!\d)\d(?:[ .-]?\d){6,14}(?!\d)")),
 )
 _STREETS = "Street|St|Road|Rd|Lane|Ln|Avenue|Ave|Drive|Dr|Terrace|Crescent|Row|Wharf|Boulevard|Blvd|Close|Court|Ct|Place|Square|Sq|Way|Walk|Hill|Gardens|Mews|Quay|Parade|Grove|Highway|Parkway|Alley|Yard|Green|Rise|Path|Circus|Embankment"
 _UNIT = r"(?:(?:Flat|Unit|Apt\.?|Apartment|Suite|Room|Floor|Wohnung|Appartement|Piso)\s+\w{1,5},?\s+)?"
@@ -66,29 +75,26 @@ _ADDRESSES = (
     re.compile(rf"{_UNIT}(?<!\w)(?:[Cc]alle|[Aa]venida|[Pp]laza|[Pp]aseo|[Cc]amino|[Vv]ia|[Vv]iale|[Pp]iazza|[Rr]ua|[Aa]vda\.?|C/)\s+(?:(?:de la|de los|de las|del|de|la|el|los|las)\s+)*[A-ZÀ-Þ][\w'’-]+(?:\s[A-ZÀ-Þ][\w'’-]+)*,?\s+(?:n\.?º\s*)?\d{{1,4}}(?![\w-]){_PLACE}"),
     re.compile(rf"{_UNIT}(?<!\w)(?:(?!Der |Die |Das |In |An |Im )[A-ZÄÖÜ][\wäöüß-]*\s+){{0,2}}(?:[A-ZÄÖÜ][\wäöüß-]*(?:straße|strasse|str\.|gasse|weg|allee|platz|ring|damm|ufer|steig|pfad|hof|markt|chaussee|graben|twiete|stieg)|(?<=\s)(?:Straße|Ring|Weg|Platz|Allee|Gasse|Damm|Ufer|Steig|Pfad|Markt|Hof|Graben)|(?:Straße|Ring|Weg|Platz|Allee|Gasse|Damm|Ufer))\s+\d{{1,4}}\s?[a-z]?(?![\w-]){_PLACE}"),
 )
-_BEFORE = {
-    "email": re.compile(r"(?:mail|mailto|reach me at|write to|account is|from|cc|to|send .{0,20}to|adresse ist|courriel est|correo es|escriba a|écrivez à|bitte an|for|contact|address|schreiben .{0,12}an)\W{0,3}$", re.I),
-    "phone": re.compile(r"(?:call(?: me)?(?: on| at)?|ring|number is|phone|mobile|cell|fax|tel\.?|telefon|callback to|missed call|left|unter|appelez-moi au|llámeme al|dial|reached? (?:me )?(?:on|at)|sms|text)\W{0,3}$", re.I),
-    "identity_number": re.compile(r"(?:social security(?: number)?(?: is)?|identity number|id card(?: says)?|id number|passport(?: number)?|national insurance (?:no\.?|number)|tax id|national id|ssn|nino|insurance number(?: is)?|licen[cs]e number|steuernummer|ausweisnummer(?: lautet)?|sozialversicherungsnummer|passeport(?: n°)?|pasaporte|numéro d['’]identité(?: est)?|número de identidad(?: es)?|dni|nie|lookup|wrong id|\bid)\W{0,4}$", re.I),
-    "street_address": re.compile(r"(?:live at|met at|moved to|ship it to|address|delivery to|sensor at|wohne in|lieferung an|livraison|habite au?|vivo en|envíelo a|located at|office at|visit us at|adresse|dirección|send .{0,20}to|come to|\bat|\bto)\W{0,3}$", re.I),
-    "name": re.compile(r"(?<!\w)(?:my name is|name ist|je m['’]appelle|me llamo|spoke (?:to|with)|call with|call back|please ask|(?<!\w)ask|notes from|bitte|demandez à|pregunte a|customer,|client,|regards,|grüße,|cordialement,|saludos,|sincerely,|thanks,|cheers,|yours,|cc:|from:|to:|dear|hello|hi|mr\.?|mrs\.?|ms\.?|dr\.?|herr|frau|met with|signed(?: by)?|contact|i am|i'm|this is|on behalf of|assigned to|reported by|written by)\s*$", re.I),
+#: Words that name a kind of detail; the same in any text, as labels of a form are.
+LABELS = {
+    "email": frozenset("email e-mail mail mailto courriel correo e-mail-adresse".split()),
+    "phone": frozenset("phone telephone tel telefon telefonnummer teléfono téléphone telefono mobile cell handy fax call ring dial sms whatsapp".split()),
+    "identity_number": frozenset("passport passeport pasaporte reisepass ssn nino security insurance identity identité identidad id dni nie cpf tax steuernummer ausweisnummer sozialversicherungsnummer licence license".split()),
+    "street_address": frozenset("address adresse anschrift dirección indirizzo street".split()),
+    "name": frozenset("name named nom nombre nome mr mrs ms dr prof herr frau monsieur madame señor señora dear sincerely signed".split()),
 }
-_AFTER = {
-    "phone": re.compile(r"^\W{0,2}(?:after|and ask|as a callback|an\b|if|before|tomorrow|\.?$|any time)", re.I),
-    "identity_number": re.compile(r"^\W{0,2}(?:is on the form|was in|expires|in archive|in form|belongs to|steht)", re.I),
-    "street_address": re.compile(r"^\W{0,2}(?:yesterday|in spring|in (?:summer|autumn|winter)|if you|please)", re.I),
-    "email": re.compile(r"^\W{0,2}(?:please|if that helps|or open|cannot log|schicken|\.?$)", re.I),
-    "name": re.compile(r"^(?:\s+(?:reported|and they|about it|last week|fragen|on \w|said|wrote|asked|called|told|is waiting|will be|has agreed|agreed)|,\s+(?:is|are|who|was|will)\b|:\s)", re.I),
-}
-_TOLD = re.compile(r"^\s+(?:reported|and they|about it|last week|fragen)\b|^, is waiting")
-#: What numbers that are nobody's are called, before and after.
-_NOBODY = re.compile(r"(?:block|checksum|ticket|session|created_at|total is|offset|version|port|build|commit|order|invoice|row|line|sku|hash|epoch|stamp|page|between|and|event|job|run|batch|code|error)\W{0,3}$", re.I)
-_NOBODY_AFTER = re.compile(r"^(?:\s*(?:bytes?|rows?|blocks?|files?|ms|seconds?|minutes?|kb|mb|gb|tokens?|users?|differs|starts at|is about|was left|records?|lines?|events?)\b|[-:/.]?\w|\s*%|\s+and \d)", re.I)
+_RIVAL = {"phone": "identity_number", "identity_number": "phone"}
+#: A number is an amount before these, and part of something longer before more letters, digits or a sign.
+_AMOUNT = re.compile(r"^(?:\s*(?:bytes?|[kmgt]i?b|ms|s|sec(?:ond)?s?|min(?:ute)?s?|hours?|days?|rows?|lines?|files?|records?|items?|tokens?|users?|events?|percent|eur|usd)\b|[-:/.]?\w|\s*%)", re.I)
 
 _SMALL = frozenset(w for words in SMALL_WORDS.values() for w in words.split()) | frozenset("about after again all also any ask best bitte call called can cc dear did do does first found from get give had has have hello her here his how its just keep last let like look made make many may me mein meine mi mon more my name need new next no notes now off on one only our out over own please regards said saludos see send set she should since some still summarise take tell than thanks they too took try two under until up us use used very via viele was way were what where which while who will without would write yes your".split())
 _PARTICLES = frozenset("van von de der den del della di da la le ter ten bin ibn al el zu zur dos das du des vom af av".split())
 _WORD = re.compile(rf"{_L}+(?:['’-]{_L}+)*")
-_GAP = re.compile(r"[ \t  ]+$|[ \t  ]*\n?[ \t]*$")
+_BESIDE = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*|\d+|\n|[^\w\s]")
+_RUN = re.compile(r"\d(?:[ ().\-/]{0,3}\d){5}")
+_CAPITALS = re.compile(r"(?<![^\W_])[^\W\d_a-zß-öø-ÿа-яё][\w.'’-]*,?[ \t\u00a0]+(?:[a-z]{1,3}[ \t\u00a0]+){0,3}[^\W\d_a-zß-öø-ÿа-яё]")
+_HOUSE = re.compile(r"\d[A-Za-z]?(?:\s?(?:bis|ter))?,?\s+[A-ZÀ-Þracpbqi]|[a-zß.)]\s+(?:n\.?º\s*)?\d|[A-ZÀ-Þ]\w*,?\s+\d")
+_AT_WORD = re.compile(r"\b(?:at|arroba|arobase|ät)\b")
 _DETERMINER = re.compile(r"(?:^|\W)(?:the|a|an|this|that|der|die|das|den|dem|ein|eine|le|la|les|un|une|el|los|las|una|our|your|their)\s+$", re.I)
 
 
@@ -103,6 +109,7 @@ class Gazetteer:
         self.given = frozenset(_plain(t.strip()) for t, k in parts if k == "given")
         family = {_plain(t.strip()) for t, k in parts if k == "family"}
         self.family = frozenset(family | {f.split()[-1] for f in family})
+        self.all = self.given | self.family
 
 
 def _shape(word: str) -> str:
@@ -126,9 +133,16 @@ def _case(given: str, initial: bool, family: str) -> int:
     return -1
 
 
-def _name_candidates(text: str, gaz: Gazetteer) -> Iterator[tuple]:
+def _name_candidates(text: str, gaz: Gazetteer, at: int | None = None) -> Iterator[tuple]:
+    """(start, end, given, family, initial, case, given known, family known) of what may be a name.
+
+    Either a part is known, or both are written as names; at the place ``at`` any two words that are
+    no small ones will do.
+    """
     words = [(m.start(), m.end(), m[0]) for m in _WORD.finditer(text)]
     for i, (a, b, w) in enumerate(words):
+        if at is not None and a != at:
+            continue
         low = _plain(w)
         initial = len(w) == 1
         if a and (text[a - 1].isalnum() or text[a - 1] in "_@"):
@@ -161,71 +175,75 @@ def _name_candidates(text: str, gaz: Gazetteer) -> Iterator[tuple]:
             if len(x) > 1 and (family not in _SMALL or family in gaz.family):
                 case = _case(w, initial, x)
                 known = (low in gaz.given) + (family in gaz.family)
-                if known or case == 1 or case == 0 and (_BEFORE["name"].search(text[max(0, a - 40) : a]) or _TOLD.search(text[e : e + 16]) or a == 0 and text[e : e + 2] == ": "):
+                if known or case == 1 or case == 0 and at is not None:
                     yield a, e, w, x, initial, case, low in gaz.given, family in gaz.family
         # family name, comma, given name
         if not initial and low not in _SMALL and i + 1 < len(words) and re.fullmatch(r",[ \t ]{1,2}", text[b : words[i + 1][0]]):
             s, e, x = words[i + 1]
             single = len(x) == 1 and text[e : e + 1] == "."
             follows = words[i + 2] if i + 2 < len(words) else (0, 0, "")
-            signed = _BEFORE["name"].search(text[max(0, s - 40) : s]) or follows[0] == e + 1 and _shape(follows[2]) in "TU" and text[e : e + 1] == " " and low not in gaz.family
-            if (len(x) > 1 or single) and (low in gaz.family or not signed):
+            # of three capitals after each other the last two are the name, what stands before is said to them
+            signed = follows[0] == e + 1 and _shape(follows[2]) in "TU" and text[e : e + 1] == " " and low not in gaz.family
+            if (len(x) > 1 or single) and not signed:
                 given, family = _plain(x), low
                 known = (given in gaz.given) + (family in gaz.family)
                 start = a
                 k = i - 1
                 while k >= 0 and _plain(words[k][2]) in _PARTICLES and text[words[k][1] : start].strip() == "" and text[words[k][1] : start]:
                     start, k = words[k][0], k - 1
-                named = _case(x, single, w) == 1 and (_BEFORE["name"].search(text[max(0, start - 40) : start]) or _AFTER["name"].search(text[e + single : e + single + 24]))
-                if (given not in _SMALL or given in gaz.given) and (known and (family in gaz.family or _shape(w) != "l" or single) or named):
-                    yield start, e + single, x, w, single, _case(x, single, w), given in gaz.given, family in gaz.family
+                case = _case(x, single, w)
+                if (given not in _SMALL or given in gaz.given) and (known and (family in gaz.family or _shape(w) != "l" or single) or case == 1):
+                    yield start, e + single, x, w, single, case, given in gaz.given, family in gaz.family
+
+
+def _beside(text: str, a: int, b: int) -> tuple[list[str], list[str]]:
+    """The last three, two and one tokens before a span, and the first three, two and one after it."""
+    tell = lambda x: "0" if x.isdigit() else x.lower().replace("’", "'")
+    left = ["^", "^", "^", *map(tell, _BESIDE.findall(text[max(0, a - 64) : a]))]
+    right = [*map(tell, _BESIDE.findall(text[b : b + 64])), "$", "$", "$"]
+    return [" ".join(left[-n:]) for n in (3, 2, 1)], [" ".join(right[:n]) for n in (3, 2, 1)]
+
+
+def _label(kind: str, text: str, a: int, b: int) -> int:
+    """Whether a word near before the span says what it is, or that it is something else."""
+    near = _BESIDE.findall(text[max(0, a - 40) : a].lower())[-4:]
+    if not LABELS[kind].isdisjoint(near):
+        return 1
+    if kind == "name":
+        return -1 if _DETERMINER.search(text[max(0, a - 12) : a]) else 0
+    if kind in _RIVAL and (not LABELS[_RIVAL[kind]].isdisjoint(near) or _AMOUNT.search(text[b : b + 24])):
+        return -1
+    return 0
 
 
 def candidates(text: str, gaz: Gazetteer) -> list[tuple]:
-    """(type, start, end, given, family, votes without words and company) of all spans worth a vote."""
+    """(type, start, end, given, family, form, check, known, label) of all spans worth a vote."""
     out: list[tuple] = []
 
-    def context(kind: str, a: int, b: int, numeric: bool = False) -> tuple[int, int]:
-        left, right = text[max(0, a - 48) : a], text[b : b + 24]
-        before = 1 if _BEFORE[kind].search(left) else 0
-        after = 1 if _AFTER[kind].search(right) else 0
-        rival = {"phone": "identity_number", "identity_number": "phone"}.get(kind)
-        if numeric and not before and (_NOBODY.search(left) or _BEFORE[rival].search(left)):
-            before = -1
-        if numeric and not after and _NOBODY_AFTER.search(right):
-            after = -1
-        return before, after
+    def add(kind: str, a: int, b: int, form: int, check: int, known: int) -> None:
+        out.append((kind, a, b, None, None, form, check, known, _label(kind, text, a, b)))
 
     low = text.lower()
-    if "@" in text or "at" in low or "arroba" in low or "arobase" in low:
+    if "@" in text:
         for m in _EMAIL.finditer(text):
             local = re.split(r"[._+-]", m[0].split("@")[0].lower())
-            known = 1 if any(p in gaz.given or p in gaz.family for p in local) else 0
-            out.append(("email", m.start(), m.end(), None, None, 1, 0 if m[0].count("@") == 1 else -1, known, *context("email", m.start(), m.end())))
+            add("email", *m.span(), 1, 0 if m[0].count("@") == 1 else -1, int(not gaz.all.isdisjoint(local)))
+    if _AT_WORD.search(low):
         for m in _SPELLED.finditer(text):
-            marked = bool(re.search(r"[(\[{<]", m["at"]))
-            spelled = re.search(r"\bdot\b|\bpunto\b|\bpoint\b|\bpunkt\b", m[0], re.I)
-            if not marked and not spelled:
+            if not re.search(r"[(\[{<]", m["at"]) and not re.search(r"\bdot\b|\bpunto\b|\bpoint\b|\bpunkt\b", m[0], re.I):
                 continue
             local = re.split(r"[._+\s-]", m[0][: m.start("at") - m.start()].lower())
-            known = 1 if any(p in gaz.given or p in gaz.family for p in local) else 0
-            out.append(("email", m.start(), m.end(), None, None, 1, 1 if marked or spelled else 0, known, *context("email", m.start(), m.end())))
-    digits = sum(map(str.isdigit, text))
-    if digits >= 7:
+            add("email", *m.span(), 1, 1, int(not gaz.all.isdisjoint(local)))
+    if _RUN.search(text):
         for form, pattern in _PHONES:
             for m in pattern.finditer(text):
                 a, b = m.span()
                 n = sum(map(str.isdigit, m[0]))
                 if text[b : b + 1].isalnum() or text[b : b + 2][1:2].isdigit() and text[b] in "-/" or a and (text[a - 1].isalnum() or text[a - 1] in "#_@+" or text[a - 1] in ".-/" and a > 1 and text[a - 2].isalnum()):
                     continue
-                before, after = context("phone", a, b, True)
-                if not 7 <= n <= 15:
+                if not 7 <= n <= 15 or form <= 0 and text[b : b + 1] in (" ", "-", "/") and text[b + 1 : b + 2].isdigit():
                     continue
-                if form == 0 and (before != 1 or text[b : b + 1] in (" ", "-", "/") and text[b + 1 : b + 2].isdigit()):
-                    continue
-                strong = m[0][0] in "+(" or n >= 9 and m[0].startswith("0")
-                out.append(("phone", a, b, None, None, 1, 1 if strong else 0, 0, before, after))
-    if digits >= 6:
+                add("phone", a, b, form, 1 if m[0][0] in "+(" else 0, 0)
         for form, pattern in _IDS:
             for m in pattern.finditer(text):
                 a, b = m.span()
@@ -233,36 +251,36 @@ def candidates(text: str, gaz: Gazetteer) -> list[tuple]:
                     continue
                 if text[b : b + 1] == " " and text[b + 1 : b + 2].isdigit():
                     continue
-                before, after = context("identity_number", a, b, True)
-                if form == 0 and before != 1:
-                    continue
-                letters = any(map(str.isalpha, m[0]))
-                out.append(("identity_number", a, b, None, None, 1, 1 if letters else 0, 0, before, after))
-    if digits:
-        for k, pattern in enumerate(_ADDRESSES):
+                add("identity_number", a, b, form, 1 if any(map(str.isalpha, m[0])) else 0, 0)
+    if _HOUSE.search(text):
+        for pattern in _ADDRESSES:
             for m in pattern.finditer(text):
-                placed = 1 if "," in m[0] else 0
-                out.append(("street_address", m.start(), m.end(), None, None, 1, placed, 0, *context("street_address", m.start(), m.end())))
-    for a, b, given, family, initial, case, known_given, known_family in _name_candidates(text, gaz):
-        before, after = context("name", a, b)
-        if not before and _DETERMINER.search(text[max(0, a - 12) : a]):
-            before = -1
-        out.append(("name", a, b, _plain(given), _plain(family), case, 0 if initial else 1, int(known_given) + int(known_family), before, after))
+                add("street_address", *m.span(), 1, 1 if "," in m[0] else 0, 0)
+    if _CAPITALS.search(text) or not gaz.all.isdisjoint(_WORD.findall(low.replace("’", "'"))):
+        out += map(partial(_as_name, text), _name_candidates(text, gaz))
     return out
 
 
-def reliabilities(patterns: np.ndarray, counts: np.ndarray, doubted: np.ndarray | None = None, rounds: int = 40) -> tuple[np.ndarray, list[np.ndarray]]:
+def _as_name(text: str, found: tuple) -> tuple:
+    a, b, given, family, initial, case, known_given, known_family = found
+    return ("name", a, b, _plain(given), _plain(family), case, 0 if initial else 1, int(known_given) + int(known_family), _label("name", text, a, b))
+
+
+def _told(text: str, gaz: Gazetteer, phrases: re.Pattern) -> Iterator[tuple]:
+    """Candidates for names right after a phrase that was learnt to come before names."""
+    for m in phrases.finditer(text.lower()) if len(text.lower()) == len(text) else ():
+        at = m.end() + len(text[m.end() :]) - len(text[m.end() :].lstrip(" \t"))
+        for found in _name_candidates(text, gaz, at):
+            yield _as_name(text, found)
+
+
+def reliabilities(patterns: np.ndarray, counts: np.ndarray, start: np.ndarray | None = None, rounds: int = 40) -> tuple[np.ndarray, list[np.ndarray]]:
     """Posterior of each vote pattern and, for each labeler, P(vote | no) and P(vote | yes), by EM.
 
-    ``patterns`` holds votes shifted to 0..K.  It starts from the votes' sum, a vote
-    against weighing more than one for; ``doubted`` patterns start as unlikely.
+    ``patterns`` holds votes shifted to 0..K.  It starts from ``start``, or else from the votes' sum.
     """
     n, k = patterns.shape
-    total = (patterns - 1).sum(axis=1)
-    against = (patterns == 0).any(axis=1)
-    if doubted is not None:
-        total = np.where(doubted, 0, total)
-    post = np.where(against & (total < 3), 0.05, np.where(total >= 2, 0.95, np.where(total == 1, 0.6, 0.05)))
+    post = 1 / (1 + np.exp(-1.0 * (patterns - 1).sum(axis=1))) if start is None else start.copy()
     values = int(patterns.max()) + 1
     tables: list[np.ndarray] = []
     first = post.copy()
@@ -331,7 +349,82 @@ def _greedy():
     return choose
 
 
-def mentions(texts: DataFrame, name_parts: DataFrame, name: str = "name_text", kind: str = "name_kind") -> DataFrame:
+_SEED = """case pii_type when 'email' then 0.9 when 'street_address' then 0.9
+  when 'name' then case when v_form = -1 then 0.05 when v_known = 2 then 0.95 when v_known = 1 then 0.5 + 0.2 * v_form else 0.05 + 0.15 * v_form end
+  else case v_form when 1 then 0.6 + 0.3 * v_check when 0 then 0.1 + 0.1 * v_check else 0.03 end end"""
+#: How much a vote adds to the log-odds a pattern starts from.
+_START = {"v_label": 1.5, "v_left": 1.5, "v_right": 1.5, "v_words": 0.5, "v_company": 0.75}
+
+
+def _known_parts(texts: DataFrame, parts: DataFrame) -> DataFrame:
+    """``texts`` with given and family, the known parts among the words of each text, by a join."""
+    pieces = F.split(F.lower(F.regexp_replace("text", "’", "'")), r"[^\p{L}\p{M}'-]+")
+    words = F.array_distinct(F.concat(pieces, F.split(F.array_join(pieces, "-"), "-")))
+    keyed = parts.select(F.element_at(F.split(F.lower(F.regexp_replace(F.trim("t"), "’", "'")), r"\s+"), -1).alias("w"), "k").where("w <> ''").distinct()
+    marked = texts.select("place", "row_no", F.explode(words).alias("w")).distinct().join(keyed, "w")
+    known = marked.groupBy("place", "row_no").agg(*[F.collect_set(F.when(F.col("k") == k, F.col("w"))).alias(k) for k in ("given", "family")])
+    return texts.join(known, ["place", "row_no"], "left")
+
+
+def _proposed(rows: DataFrame, gazetteer, find) -> DataFrame:
+    """Spans that ``find`` yields in each text; the gazetteer is broadcast, or else in columns of the rows."""
+    columns = ["pii_type", "start", "end", "given", "family", "v_form", "v_check", "v_known", "v_label"]
+    row_type = rows.schema["row_no"].dataType.simpleString()
+
+    def propose(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            found = []
+            each = None if gazetteer is not None else zip(pdf["given"], pdf["family"], strict=True)
+            for p, n, t in zip(pdf["place"], pdf["row_no"], pdf["text"], strict=True):
+                if each is None:
+                    gaz = gazetteer.value
+                else:
+                    given, family = next(each)
+                    gaz = Gazetteer([(x, "given") for x in (given if given is not None else ())] + [(x, "family") for x in (family if family is not None else ())])
+                found += [(p, n, *c, *_beside(t, c[1], c[2])) for c in find(t, gaz)]
+            yield pd.DataFrame(found, columns=["place", "row_no", *columns, "left", "right"])
+
+    schema = f"place string, row_no {row_type}, pii_type string, start int, end int, given string, family string, v_form int, v_check int, v_known int, v_label int, left array<string>, right array<string>"
+    return rows.mapInPandas(propose, schema)
+
+
+_ID = ["place", "row_no", "pii_type", "start", "end"]
+
+
+def _contexts(weighed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(_ID, side, rank, key) of all spans, and (pii_type, side, key, n, odds) of each context seen often enough."""
+    flat = [F.posexplode(F.col(side)).alias("rank", "key") for side in ("left", "right")]
+    keys = weighed.select(*_ID, "p", F.lit("left").alias("side"), flat[0]).unionByName(weighed.select(*_ID, "p", F.lit("right").alias("side"), flat[1]))
+    base = weighed.groupBy("pii_type").agg(F.greatest(F.lit(0.01), F.least(F.lit(0.99), F.avg("p"))).alias("base"))
+    told = keys.groupBy("pii_type", "side", "key").agg(F.sum("p").alias("yes"), F.count("*").alias("n")).where(F.col("n") >= SUPPORT)
+    b = F.col("base")
+    odds = F.log((F.col("yes") + b) / (F.col("n") - F.col("yes") + 1 - b)) - F.least(F.lit(0.0), F.log(b / (1 - b)))  # against the rate of the type, or even odds where most are mentions
+    return keys, told.join(F.broadcast(base), "pii_type").select("pii_type", "side", "key", "n", odds.alias("odds"))  # five rows
+
+
+def _voted(spans: DataFrame, weighed: DataFrame) -> DataFrame:
+    """``spans`` with v_left and v_right, the votes of the longest context known on either side."""
+    keys, told = _contexts(weighed)
+    vote = F.when(F.col("odds") > TELLING, 1).when(F.col("odds") < -TELLING, -1).otherwise(0)
+    best = keys.drop("p").join(told.select("pii_type", "side", "key", vote.alias("vote")), ["pii_type", "side", "key"]).groupBy(*_ID).agg(*[F.min_by("vote", F.when(F.col("side") == side, F.col("rank"))).alias(f"v_{side}") for side in ("left", "right")])
+    return spans.join(best, _ID, "left").na.fill(0, ["v_left", "v_right"])
+
+
+def _scores(voted: DataFrame) -> pd.DataFrame | None:
+    """Each pattern of votes with its posterior and the classifier's score: at most 4 ** 8 of a type."""
+    counted = voted.withColumn("seed", F.expr(_SEED)).groupBy("pii_type", *VOTES, "seed").count().orderBy("pii_type", *VOTES).toPandas()
+    scored = []
+    for _, group in counted.groupby("pii_type"):
+        patterns = group[list(VOTES)].to_numpy(int) + 1
+        counts = group["count"].to_numpy(float)
+        seed = group["seed"].to_numpy(float)
+        lift = sum(w * group[v].to_numpy(float) for v, w in _START.items())
+        soft, _ = reliabilities(patterns, counts, 1 / (1 + np.exp(-(np.log(seed / (1 - seed)) + lift))))
+        scored.append(group.assign(em=soft, score=span_classifier(patterns, counts, soft)))
+    return pd.concat(scored)[["pii_type", *VOTES, "em", "score"]] if scored else None
+
+
+def mentions(texts: DataFrame, name_parts: DataFrame, name: str = "name_text", kind: str = "name_kind", broadcast_bytes: int = NAME_PARTS_BYTES) -> DataFrame:
     """place, row_no, pii_type, start_at (1-based code points), end_at, score for each mention.
 
     ``texts`` has place, row_no, text; name parts that are null are left out.
@@ -339,31 +432,39 @@ def mentions(texts: DataFrame, name_parts: DataFrame, name: str = "name_text", k
     Defined cases: null and empty texts hold nothing; texts of any length are read whole; a place and
     number repeated with the same text gives each mention once; without name parts only patterns and
     context find names; an empty table gives an empty result; extra columns are ignored.  The
-    gazetteer is broadcast only up to NAME_PARTS_BYTES; a larger one is refused.
+    gazetteer is broadcast up to ``broadcast_bytes``; of a larger one each text gets its own parts by a join.
     """
     spark = texts.sparkSession
     parts = name_parts.where(F.col(name).isNotNull() & F.col(kind).isNotNull()).select(F.col(name).alias("t"), F.col(kind).alias("k")).distinct()
-    if (parts.agg(F.sum(F.octet_length("t") + 80)).first()[0] or 0) > NAME_PARTS_BYTES:
-        raise ValueError("the gazetteer is too large to broadcast")
-    gaz = spark.sparkContext.broadcast(Gazetteer([(r["t"], r["k"]) for r in parts.collect()]))
-    row_type = texts.schema["row_no"].dataType.simpleString()
-
-    def propose(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        columns = ["pii_type", "start", "end", "given", "family", "v_form", "v_check", "v_known", "v_before", "v_after"]
-        for pdf in batches:
-            found = [(p, n, *c) for p, n, t in zip(pdf["place"], pdf["row_no"], pdf["text"], strict=True) for c in candidates(t, gaz.value)]
-            yield pd.DataFrame(found, columns=["place", "row_no", *columns])
-
     rows = texts.select("place", "row_no", "text").where("text is not null and text <> ''")
-    schema = f"place string, row_no {row_type}, pii_type string, start int, end int, given string, family string, v_form int, v_check int, v_known int, v_before int, v_after int"
-    spans = materialise(rows.mapInPandas(propose, schema), "candidates")
+    gaz = None
+    if (parts.agg(F.sum(F.octet_length("t") + 80)).first()[0] or 0) <= broadcast_bytes:
+        gaz = spark.sparkContext.broadcast(Gazetteer([(r["t"], r["k"]) for r in parts.collect()]))
+        read = rows
+    else:
+        read = _known_parts(rows, parts)
+    spans = materialise(_proposed(read, gaz, candidates), "candidates")
+
+    # names in small letters and of unknown parts: what stands right after the phrases learnt to lead to names
+    named = spans.where("pii_type = 'name'")
+    n_names = named.count()
+    _, told = _contexts(named.withColumn("p", F.expr(_SEED)))
+    least = max(SUPPORT, PHRASE_SHARE * n_names)
+    phrases = [r["key"] for r in told.where((F.col("side") == "left") & (F.col("odds") > TELLING) & (F.col("n") >= least) & F.col("key").rlike(r"\p{L}") & ~F.col("key").contains("0")).select("key").distinct().collect()]
+    if phrases:
+        # tokens of a phrase may stand apart by white space; the longest phrase wins
+        pattern = "|".join(r"\s*".join("" if t == "^" else re.escape(t) for t in k.split(" ")) for k in sorted(phrases, key=len, reverse=True) if k.strip("^ "))
+        leads = re.compile(rf"(?<![^\W_])(?:{pattern})(?=[ \t])") if pattern else None
+        if leads is not None:
+            extra = _proposed(read, gaz, lambda t, g: _told(t, g, leads))
+            spans = materialise(spans.unionByName(extra).dropDuplicates(_ID), "candidates")
 
     # how the words of candidate names are used elsewhere: a word count over all texts, joined, not broadcast
     used = spans.where("pii_type = 'name'").select(F.explode(F.array("given", "family")).alias("w")).distinct()
     word = rows.select(F.explode(F.split("text", r"[^\p{L}\p{M}'’-]+")).alias("w")).where("w <> ''")
     usage = word.groupBy(F.lower(F.regexp_replace("w", "’", "'")).alias("w")).agg(F.sum((F.col("w") == F.lower("w")).cast("long")).alias("n_lower"), F.count("*").alias("n"))
     ordinary = usage.join(used, "w", "left_semi").where((F.col("n_lower") >= ORDINARY_LEAST) & (F.col("n_lower") * 2 > F.col("n"))).select("w", F.lit(1).alias("is_ordinary"))
-    sure = spans.where("pii_type = 'name' and v_form = 1 and v_known >= 1 and v_before >= 0")
+    sure = spans.where("pii_type = 'name' and v_form = 1 and v_known >= 1 and v_label >= 0")
     beside = sure.select(F.explode(F.array(F.concat(F.lit("g:"), "given"), F.concat(F.lit("f:"), "family"))).alias("k")).groupBy("k").agg(F.count("*").alias("n_beside"))
     for part, prefix in (("given", "g:"), ("family", "f:")):
         spans = spans.join(ordinary.select(F.col("w").alias(part), F.col("is_ordinary").alias(f"{part}_ordinary")), part, "left")
@@ -372,22 +473,17 @@ def mentions(texts: DataFrame, name_parts: DataFrame, name: str = "name_text", k
     odd = F.coalesce("given_ordinary", F.lit(0)) + F.coalesce("family_ordinary", F.lit(0))
     words = F.when(is_name & (odd > 0), -1).when(is_name, 1).otherwise(0)
     company = F.when(is_name, (F.coalesce("given_beside", F.lit(0)) > 0).cast("int") + (F.coalesce("family_beside", F.lit(0)) > 0).cast("int")).otherwise(0)
-    voted = materialise(spans.select("place", "row_no", "pii_type", "start", "end", "v_form", "v_check", F.least("v_known", F.lit(2)).alias("v_known"), "v_before", "v_after", words.alias("v_words"), company.alias("v_company")), "voted")
-
-    # at most 4 ** 7 patterns of each type, whatever the size of the data
-    counted = voted.groupBy("pii_type", *VOTES).count().orderBy("pii_type", *VOTES).toPandas()
-    scored = []
-    for _, group in counted.groupby("pii_type"):
-        patterns = group[list(VOTES)].to_numpy(int) + 1
-        counts = group["count"].to_numpy(float)
-        # a name needs more than capitals: a known part, company or context
-        bare = (group["pii_type"] == "name") & (group[["v_known", "v_before", "v_after", "v_company"]] <= 0).all(axis=1)
-        soft, _ = reliabilities(patterns, counts, bare.to_numpy())
-        scored.append(group.assign(em=soft, score=span_classifier(patterns, counts, soft)))
-    if not scored:
-        return spark.createDataFrame([], f"place string, row_no {row_type}, pii_type string, start_at int, end_at int, score double")
-    table = spark.createDataFrame(pd.concat(scored)[["pii_type", *VOTES, "score"]])
-    kept = voted.join(F.broadcast(table), ["pii_type", *VOTES]).where("score >= 0.5")
+    spans = materialise(spans.select(*_ID, "v_form", "v_check", F.least("v_known", F.lit(2)).alias("v_known"), "v_label", words.alias("v_words"), company.alias("v_company"), "left", "right"), "spans")
+
+    weighed = spans.withColumn("p", F.expr(_SEED))
+    for k in range(ROUNDS):
+        voted = materialise(_voted(spans, weighed), f"voted{k}")
+        scores = _scores(voted)
+        if scores is None:
+            return spark.createDataFrame([], f"place string, row_no {spans.schema['row_no'].dataType.simpleString()}, pii_type string, start_at int, end_at int, score double")
+        table = spark.createDataFrame(scores)
+        weighed = voted.join(F.broadcast(table), ["pii_type", *VOTES]).withColumn("p", F.col("em"))  # one row a pattern
+    kept = weighed.where("score >= 0.5")
     chosen = kept.groupBy("place", "row_no").agg(F.collect_set(F.struct(F.col("pii_type").alias("type"), "start", "end", "score")).alias("spans"))
     best = chosen.select("place", "row_no", F.explode(_greedy()("spans")).alias("s"))
     return best.select("place", "row_no", F.col("s.type").alias("pii_type"), (F.col("s.start") + 1).alias("start_at"), F.col("s.end").alias("end_at"), F.col("s.score").alias("score"))

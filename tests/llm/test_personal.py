@@ -58,3 +58,58 @@ def test_reliabilities_recover_good_labelers():
     assert tables[0][1, 2] > 0.9 and tables[0][0, 0] > 0.9
     score = P.span_classifier(patterns, counts.astype(float), soft)
     assert score[(patterns == 2).all(axis=1)][0] > 0.9 and score[(patterns == 0).all(axis=1)][0] < 0.1
+
+
+#: Sentences that stand in no table of the library: what leads to a detail must be learnt from the texts.
+CARRIERS = {
+    "phone": ["Best reached through {} on weekdays", "Switchboard gave us {} yesterday", "Please try {} twice"],
+    "identity_number": ["Registered under {} since May", "The clerk typed {} by mistake"],
+    "name": ["Minutes taken by {} again", "Badge issued for {} today", "Desk next to {} is free"],
+    "street_address": ["Parcels go near {} only", "Keys are kept in {} now"],
+    "email": ["Bounced from {} twice", "Forwarded it over {} then"],
+}
+DETAILS = {
+    "phone": ["+44 20 7946 01{:02d}", "(020) 7946 01{:02d}", "+1 212-555-01{:02d}"],
+    "identity_number": ["AB 12 34 {:02d} C", "X12345{:02d}L", "123-45-67{:02d}"],
+    "name": ["Ines Holm", "Ruben Oak-Lind", "Ines Tarnow", "Ruben Holm", "Robin Tarnow", "Tilda Oak-Lind"],
+    "street_address": ["{} Larkspur Terrace", "{} Old Mill Road, Brimford", "Gartengasse {}"],
+    "email": ["ines{:02d}@mail.example", "r.holm{:02d} [at] post.example"],
+}
+DECOYS = ["Batch 0{0} {1} {0} ran out of space", "Frame 9{0} {1} {0} was dropped here", "The Cobalt queue {0} and the Rowan index are warm", "Set of 4 {0} {1} bytes was written", "Pack {0}-{1}-{0}-77 came late"]
+
+
+def unseen(spark):
+    rows, expected, n = [], set(), 0
+    for kind, carriers in CARRIERS.items():
+        for c in carriers:
+            for i in range(12):
+                n += 1
+                d = DETAILS[kind][i % len(DETAILS[kind])].format(10 + i)
+                rows.append(("content", n, f"The run ended. {c.format(d)}.", None))
+                expected.add((n, kind, rows[-1][2].index(d) + 1))
+    for c in DECOYS:
+        for i in range(20):
+            n += 1
+            rows.append(("content", n, f"The run ended. {c.format(100 + 7 * i, 310 + 11 * i)}.", None))
+    return spark.createDataFrame(rows, "place string, row_no long, text string, note string"), expected
+
+
+def test_unseen_contexts(spark):
+    texts, expected = unseen(spark)
+    parts = spark.createDataFrame(PARTS, "name_text string, name_kind string")
+    got = {(r["row_no"], r["pii_type"], r["start_at"]) for r in P.mentions(texts, parts).collect()}
+    assert len(got & expected) >= 0.9 * len(expected), sorted(expected - got)
+    assert len(got & expected) >= 0.9 * len(got), sorted(got - expected)
+    # a gazetteer too large to broadcast gives each text its own parts, and the same result
+    joined = {(r["row_no"], r["pii_type"], r["start_at"]) for r in P.mentions(texts, parts, broadcast_bytes=0).collect()}
+    assert joined == got
+
+
+def test_names_in_small_letters_after_learnt_phrases(spark):
+    known = [f"Minutes taken by {g} {f} again" for g in ("Ines", "Ruben", "Robin") for f in ("Holm", "Oak-Lind")] * 3
+    small = ["minutes taken by tilda tarnow again"] * 3
+    rows = [("content", i, f"All good. {t}.") for i, t in enumerate([*known, *small])]
+    rows += [("content", 100 + i, f"The Cobalt Queue {i} and the robin index are warm by noon.") for i in range(20)]
+    texts, parts = spark.createDataFrame(rows, "place string, row_no long, text string"), spark.createDataFrame(PARTS, "name_text string, name_kind string")
+    got = {(r["row_no"], r["start_at"]) for r in P.mentions(texts, parts).where("pii_type = 'name'").collect()}
+    assert got == {(i, 28) for i in range(len(known) + len(small))}
