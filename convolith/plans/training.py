@@ -45,7 +45,13 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return delivery.surplus_copies(events, F.col("session_id"), F.col("message.id"), "event_no", F.col("batch_no"))
 
 
-QUERIES = {"p4_found": p4_found, "p4_paths": p4_paths, "p4_descendants": p4_descendants, "p5_found": p5_found, "p5_unified": p5_unified, "p6_found": p6_found}
+def p6_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The message rows that stay: one of each identifier, and all that identify nothing."""
+    events = table(spark, sf_dir, "stream_events").where("type = 'message'")
+    return delivery.drop_copies(events, F.col("session_id"), F.col("message.id"), "event_no", F.col("batch_no")).select("event_no", "session_id", F.col("message.role").alias("role"), F.col("message.content").alias("content"))
+
+
+QUERIES = {"p4_found": p4_found, "p4_paths": p4_paths, "p4_descendants": p4_descendants, "p5_found": p5_found, "p5_unified": p5_unified, "p6_found": p6_found, "p6_kept": p6_kept}
 
 _TREE = """
 nodes AS (SELECT session_id, id, min(parent_id) AS parent_id FROM messages WHERE id IS NOT NULL GROUP BY session_id, id),
@@ -70,4 +76,9 @@ FROM nodes n LEFT JOIN down d ON d.session_id IS NOT DISTINCT FROM n.session_id
   SELECT event_no, session_id, lower(regexp_replace(message.id, '^\\s+|\\s+$', '', 'g')) AS k FROM stream_events WHERE type = 'message'),
 g AS (SELECT session_id, k, min(event_no) AS kept_no FROM e WHERE k <> '' GROUP BY session_id, k)
 SELECT g.kept_no, e.event_no AS surplus_no FROM e JOIN g USING (session_id, k) WHERE e.event_no <> g.kept_no""",
+    "p6_kept": """SELECT event_no, session_id, message.role AS role, message.content AS content FROM (
+  SELECT *, row_number() OVER (PARTITION BY session_id, lower(regexp_replace(message.id, '^\\s+|\\s+$', '', 'g')) ORDER BY event_no) AS copy FROM stream_events WHERE type = 'message')
+WHERE copy = 1 OR session_id IS NULL OR coalesce(lower(regexp_replace(message.id, '^\\s+|\\s+$', '', 'g')), '') = ''""",
+    "p4_descendants": f"""WITH RECURSIVE {_TREE}
+SELECT session_id, path[k] AS ancestor_id, id, CAST(depth - k + 1 AS BIGINT) AS distance FROM (SELECT *, unnest(range(1, len(path))) AS k FROM down)""",
 }

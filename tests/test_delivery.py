@@ -40,20 +40,42 @@ def test_surplus(spark):
 def test_drop_copies_keeps_the_rest(spark):
     kept = {r["event_no"] for r in D.drop_copies(events(spark, DATA), F.col("session"), F.col("id"), "event_no").collect()}
     assert kept == {1, 3, 4, 7, 8, 9, 10, 11}
+    rows = events(spark, DATA)
+    assert D.drop_copies(rows, F.col("session"), F.col("id"), "event_no", F.col("batch"), runs=3).count() == 8
+    assert D.drop_copies(rows.limit(0), F.col("session"), F.col("id"), "event_no").count() == 0
+
+
+def kept(store):
+    return {tuple(r) for r in store.kept().collect()}
 
 
 def test_store_is_idempotent(spark):
     store = D.UpsertStore(spark, row_type="bigint", buckets=3)
-    batch = spark.createDataFrame([("g", "k", 5), ("g", "k", 3), ("g", "l", 9)], "grp string, key string, row_no long")
+    batch = spark.createDataFrame([("g", "k", 5), ("g", "k", 3), ("g", "l", 9), ("g", None, 1), (None, "k", 1)], "grp string, key string, row_no long")
     store.upsert(batch)
-    once = {tuple(r)[:3] for r in store.merged().collect()}
+    once = kept(store)
     store.upsert(batch)
-    assert {tuple(r)[:3] for r in store.merged().collect()} == once == {("g", "k", 3), ("g", "l", 9)}
-    store.upsert(spark.createDataFrame([("g", "k", 1)], "grp string, key string, row_no long"))
-    store.compact()
-    assert {tuple(r)[:3] for r in store.merged().collect()} == {("g", "k", 1), ("g", "l", 9)}
-    plan = store.merged()._jdf.queryExecution().executedPlan().toString()
-    assert "Exchange" not in plan
+    assert kept(store) == once == {("g", "k", 3, 5), ("g", "l", 9, 9)}
+    store.upsert(spark.createDataFrame([("g", "k", 1), ("h", "k", 7)], "grp string, key string, row_no long"))
+    store.upsert(batch.limit(0))
+    assert kept(store) == {("g", "k", 1, 5), ("g", "l", 9, 9), ("h", "k", 7, 7)} and len(store.runs) == 1
+    store.close()
+    assert not any(t.name.startswith("upsert_") for t in spark.catalog.listTables())
+
+
+def test_compaction_merges_sorted_runs(spark):
+    """Neither exchange, nor sort, nor hash table stands in the plan of a merge."""
+    store = D.UpsertStore(spark, row_type="bigint", buckets=3)
+    rows = spark.range(500).select(F.lit("g").alias("grp"), (F.col("id") % 90).cast("string").alias("key"), F.col("id").alias("row_no"))
+    store.upsert(rows.where("row_no < 300"))
+    store.upsert(rows.where("row_no >= 200"))
+    with D._conf(spark, D._IN_ORDER):
+        plan = store.merge(store.runs[0][0], store.runs[1][0])._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "FullOuter" in plan
+    assert "Exchange" not in plan and "Sort [" not in plan and "Aggregate" not in plan
+    assert spark.conf.get("spark.sql.adaptive.enabled") == "true"
+    assert kept(store) == {("g", str(k), k, 499 - (499 - k) % 90) for k in range(90)}
+    store.close()
 
 
 def test_next_row_across_blocks(spark):
