@@ -7,8 +7,7 @@ from candidates whose form alone is telling, then again from the posteriors.  Ex
 over the counts of vote patterns (all data, a bounded number of patterns) estimates how reliable each
 labeler is for each type and how likely each pattern is a mention.  On those soft labels a logistic
 span classifier over votes and pairs of votes is trained; it decides, and overlaps go to the better
-span.  Names beyond the gazetteer are helped by a word's company - parts seen beside a known name - and,
-where they aren't written with capitals, proposed by the phrases that were learnt to come before names.
+span.  Names beyond the gazetteer are helped by a word's company: parts seen beside a known name.
 """
 
 from __future__ import annotations
@@ -29,10 +28,11 @@ TYPES = ("email", "phone", "identity_number", "street_address", "name")
 VOTES = ("v_form", "v_check", "v_known", "v_label", "v_left", "v_right", "v_words", "v_company")
 SUPPORT = 3  # least spans a context must stand beside to vote
 TELLING = 1.0  # least log-odds, for or against, of a context that votes
-PHRASE_SHARE = 1e-4  # least share of the name candidates a phrase stands before to propose names; so there are at most 20 000
 ROUNDS = 2  # of learning contexts
+ANCHOR = 0.01  # of all spans, those taken for settled on either side
 PLACEHOLDERS = {t: f"[{t.upper()}]" for t in TYPES}
 NAME_PARTS_BYTES = 64 << 20  # most bytes of gazetteer that are broadcast
+USED_BYTES = 8 << 20  # most bytes of the words of candidate names that are broadcast to the word count
 ORDINARY_LEAST = 3  # lower-case uses that make a word ordinary
 
 _L = r"[^\W\d_]"
@@ -133,16 +133,13 @@ def _case(given: str, initial: bool, family: str) -> int:
     return -1
 
 
-def _name_candidates(text: str, gaz: Gazetteer, at: int | None = None) -> Iterator[tuple]:
+def _name_candidates(text: str, gaz: Gazetteer) -> Iterator[tuple]:
     """(start, end, given, family, initial, case, given known, family known) of what may be a name.
 
-    Either a part is known, or both are written as names; at the place ``at`` any two words that are
-    no small ones will do.
+    Either a part is known, or both are written as names, or a label of names stands before.
     """
     words = [(m.start(), m.end(), m[0]) for m in _WORD.finditer(text)]
     for i, (a, b, w) in enumerate(words):
-        if at is not None and a != at:
-            continue
         low = _plain(w)
         initial = len(w) == 1
         if a and (text[a - 1].isalnum() or text[a - 1] in "_@"):
@@ -175,7 +172,7 @@ def _name_candidates(text: str, gaz: Gazetteer, at: int | None = None) -> Iterat
             if len(x) > 1 and (family not in _SMALL or family in gaz.family):
                 case = _case(w, initial, x)
                 known = (low in gaz.given) + (family in gaz.family)
-                if known or case == 1 or case == 0 and at is not None:
+                if known or case == 1 or case == 0 and _label("name", text, a, e, 2) == 1:
                     yield a, e, w, x, initial, case, low in gaz.given, family in gaz.family
         # family name, comma, given name
         if not initial and low not in _SMALL and i + 1 < len(words) and re.fullmatch(r",[ \t ]{1,2}", text[b : words[i + 1][0]]):
@@ -204,9 +201,9 @@ def _beside(text: str, a: int, b: int) -> tuple[list[str], list[str]]:
     return [" ".join(left[-n:]) for n in (3, 2, 1)], [" ".join(right[:n]) for n in (3, 2, 1)]
 
 
-def _label(kind: str, text: str, a: int, b: int) -> int:
+def _label(kind: str, text: str, a: int, b: int, reach: int = 4) -> int:
     """Whether a word near before the span says what it is, or that it is something else."""
-    near = _BESIDE.findall(text[max(0, a - 40) : a].lower())[-4:]
+    near = _BESIDE.findall(text[max(0, a - 40) : a].lower())[-reach:]
     if not LABELS[kind].isdisjoint(near):
         return 1
     if kind == "name":
@@ -266,35 +263,29 @@ def _as_name(text: str, found: tuple) -> tuple:
     return ("name", a, b, _plain(given), _plain(family), case, 0 if initial else 1, int(known_given) + int(known_family), _label("name", text, a, b))
 
 
-def _told(text: str, gaz: Gazetteer, phrases: re.Pattern) -> Iterator[tuple]:
-    """Candidates for names right after a phrase that was learnt to come before names."""
-    for m in phrases.finditer(text.lower()) if len(text.lower()) == len(text) else ():
-        at = m.end() + len(text[m.end() :]) - len(text[m.end() :].lstrip(" \t"))
-        for found in _name_candidates(text, gaz, at):
-            yield _as_name(text, found)
-
-
 def reliabilities(patterns: np.ndarray, counts: np.ndarray, start: np.ndarray | None = None, rounds: int = 40) -> tuple[np.ndarray, list[np.ndarray]]:
     """Posterior of each vote pattern and, for each labeler, P(vote | no) and P(vote | yes), by EM.
 
     ``patterns`` holds votes shifted to 0..K.  It starts from ``start``, or else from the votes' sum.
     """
-    n, k = patterns.shape
     post = 1 / (1 + np.exp(-1.0 * (patterns - 1).sum(axis=1))) if start is None else start.copy()
-    values = int(patterns.max()) + 1
+    values, k = int(patterns.max()) + 1, patterns.shape[1]
+    # what all labelers agree on is settled: a share of such spans keeps EM from splitting one class in two
+    weight = max(1.0, ANCHOR * float(counts.sum()))
+    rows = np.concatenate([patterns, np.zeros((1, k), int), np.full((1, k), values - 1)])
+    mass = np.concatenate([counts, [weight, weight]])
     tables: list[np.ndarray] = []
-    first = post.copy()
     for _ in range(rounds):
-        prior = float(np.clip((post * counts).sum() / counts.sum(), 0.01, 0.99))
+        full = np.concatenate([post, [0.0, 1.0]])
+        prior = float(np.clip((full * mass).sum() / mass.sum(), 0.01, 0.99))
         tables = []
-        logit = np.full(n, np.log(prior / (1 - prior)))
+        logit = np.full(len(post), np.log(prior / (1 - prior)))
         for j in range(k):
-            # each pattern also speaks once more for where it started, which settles what is rare
-            # and is smoothed by how votes fall overall, so that a labeler that always says the same says nothing
-            overall = np.bincount(patterns[:, j], weights=counts + 1, minlength=values)
+            # smoothed by how votes fall overall, so that a labeler that always says the same says nothing
+            overall = np.bincount(rows[:, j], weights=mass + 1, minlength=values)
             overall = (overall + 1e-9) / overall.sum()
-            yes = np.bincount(patterns[:, j], weights=post * counts + first, minlength=values) + overall
-            no = np.bincount(patterns[:, j], weights=(1 - post) * counts + 1 - first, minlength=values) + overall
+            yes = np.bincount(rows[:, j], weights=full * mass, minlength=values) + overall
+            no = np.bincount(rows[:, j], weights=(1 - full) * mass, minlength=values) + overall
             t = np.stack([no / no.sum(), yes / yes.sum()])
             tables.append(t)
             logit += np.log(t[1, patterns[:, j]] / t[0, patterns[:, j]])
@@ -350,8 +341,9 @@ def _greedy():
 
 
 _SEED = """case pii_type when 'email' then 0.9 when 'street_address' then 0.9
-  when 'name' then case when v_form = -1 then 0.05 when v_known = 2 then 0.95 when v_known = 1 then 0.5 + 0.2 * v_form else 0.05 + 0.15 * v_form end
-  else case v_form when 1 then 0.6 + 0.3 * v_check when 0 then 0.1 + 0.1 * v_check else 0.03 end end"""
+  when 'name' then case when v_form = -1 then 0.05 when v_known = 2 then 0.95 when v_known = 1 then 0.5 + 0.2 * v_form else 0.05 + 0.15 * v_form + 0.3 * greatest(v_label, 0) end
+  else (case v_form when 1 then 0.6 + 0.3 * v_check when 0 then 0.1 + 0.1 * v_check else 0.03 end) * case v_label when -1 then 0.3 else 1 end
+    + case when v_label = 1 and v_form < 1 then 0.3 else 0 end end"""
 #: How much a vote adds to the log-odds a pattern starts from.
 _START = {"v_label": 1.5, "v_left": 1.5, "v_right": 1.5, "v_words": 0.5, "v_company": 0.75}
 
@@ -366,8 +358,8 @@ def _known_parts(texts: DataFrame, parts: DataFrame) -> DataFrame:
     return texts.join(known, ["place", "row_no"], "left")
 
 
-def _proposed(rows: DataFrame, gazetteer, find) -> DataFrame:
-    """Spans that ``find`` yields in each text; the gazetteer is broadcast, or else in columns of the rows."""
+def _proposed(rows: DataFrame, gazetteer) -> DataFrame:
+    """The candidates of each text; the gazetteer is broadcast, or else in columns of the rows."""
     columns = ["pii_type", "start", "end", "given", "family", "v_form", "v_check", "v_known", "v_label"]
     row_type = rows.schema["row_no"].dataType.simpleString()
 
@@ -381,7 +373,7 @@ def _proposed(rows: DataFrame, gazetteer, find) -> DataFrame:
                 else:
                     given, family = next(each)
                     gaz = Gazetteer([(x, "given") for x in (given if given is not None else ())] + [(x, "family") for x in (family if family is not None else ())])
-                found += [(p, n, *c, *_beside(t, c[1], c[2])) for c in find(t, gaz)]
+                found += [(p, n, *c, *_beside(t, c[1], c[2])) for c in candidates(t, gaz)]
             yield pd.DataFrame(found, columns=["place", "row_no", *columns, "left", "right"])
 
     schema = f"place string, row_no {row_type}, pii_type string, start int, end int, given string, family string, v_form int, v_check int, v_known int, v_label int, left array<string>, right array<string>"
@@ -443,35 +435,28 @@ def mentions(texts: DataFrame, name_parts: DataFrame, name: str = "name_text", k
         read = rows
     else:
         read = _known_parts(rows, parts)
-    spans = materialise(_proposed(read, gaz, candidates), "candidates")
-
-    # names in small letters and of unknown parts: what stands right after the phrases learnt to lead to names
-    named = spans.where("pii_type = 'name'")
-    n_names = named.count()
-    _, told = _contexts(named.withColumn("p", F.expr(_SEED)))
-    least = max(SUPPORT, PHRASE_SHARE * n_names)
-    phrases = [r["key"] for r in told.where((F.col("side") == "left") & (F.col("odds") > TELLING) & (F.col("n") >= least) & F.col("key").rlike(r"\p{L}") & ~F.col("key").contains("0")).select("key").distinct().collect()]
-    if phrases:
-        # tokens of a phrase may stand apart by white space; the longest phrase wins
-        pattern = "|".join(r"\s*".join("" if t == "^" else re.escape(t) for t in k.split(" ")) for k in sorted(phrases, key=len, reverse=True) if k.strip("^ "))
-        leads = re.compile(rf"(?<![^\W_])(?:{pattern})(?=[ \t])") if pattern else None
-        if leads is not None:
-            extra = _proposed(read, gaz, lambda t, g: _told(t, g, leads))
-            spans = materialise(spans.unionByName(extra).dropDuplicates(_ID), "candidates")
-
-    # how the words of candidate names are used elsewhere: a word count over all texts, joined, not broadcast
-    used = spans.where("pii_type = 'name'").select(F.explode(F.array("given", "family")).alias("w")).distinct()
-    word = rows.select(F.explode(F.split("text", r"[^\p{L}\p{M}'’-]+")).alias("w")).where("w <> ''")
-    usage = word.groupBy(F.lower(F.regexp_replace("w", "’", "'")).alias("w")).agg(F.sum((F.col("w") == F.lower("w")).cast("long")).alias("n_lower"), F.count("*").alias("n"))
-    ordinary = usage.join(used, "w", "left_semi").where((F.col("n_lower") >= ORDINARY_LEAST) & (F.col("n_lower") * 2 > F.col("n"))).select("w", F.lit(1).alias("is_ordinary"))
-    sure = spans.where("pii_type = 'name' and v_form = 1 and v_known >= 1 and v_label >= 0")
-    beside = sure.select(F.explode(F.array(F.concat(F.lit("g:"), "given"), F.concat(F.lit("f:"), "family"))).alias("k")).groupBy("k").agg(F.count("*").alias("n_beside"))
-    for part, prefix in (("given", "g:"), ("family", "f:")):
-        spans = spans.join(ordinary.select(F.col("w").alias(part), F.col("is_ordinary").alias(f"{part}_ordinary")), part, "left")
-        spans = spans.join(beside.where(F.startswith("k", F.lit(prefix))).select(F.expr("substring(k, 3)").alias(part), F.col("n_beside").alias(f"{part}_beside")), part, "left")
+    spans = materialise(_proposed(read, gaz).dropDuplicates(_ID), "candidates")
+
+    # how the words of candidate names are used elsewhere, and how often beside a known name
     is_name = F.col("pii_type") == "name"
-    odd = F.coalesce("given_ordinary", F.lit(0)) + F.coalesce("family_ordinary", F.lit(0))
-    words = F.when(is_name & (odd > 0), -1).when(is_name, 1).otherwise(0)
+    parts_of = F.explode(F.array(F.struct(F.col("given").alias("w"), F.lit("given").alias("part")), F.struct(F.col("family").alias("w"), F.lit("family").alias("part")))).alias("x")
+    sure = (F.col("v_form") == 1) & (F.col("v_known") >= 1) & (F.col("v_label") >= 0)
+    used = spans.where(is_name).select(sure.cast("int").alias("sure"), parts_of).groupBy("x.w", "x.part").agg(F.sum("sure").alias("beside"))
+    used = materialise(used.groupBy("w").agg(*[F.max(F.when(F.col("part") == part, F.col("beside"))).alias(f"{part}_beside") for part in ("given", "family")]), "used")
+    lower = F.lower(F.regexp_replace("w", "’", "'"))
+    word = rows.select(F.explode(F.split("text", r"[^\p{L}\p{M}'’-]+")).alias("w")).where("w <> ''").select(lower.alias("w"), (F.col("w") == F.lower("w")).cast("long").alias("low"))
+    wanted = used.select("w")
+    if (used.agg(F.sum(F.octet_length("w") + 40)).first()[0] or 0) <= USED_BYTES:
+        word = word.join(F.broadcast(wanted), "w", "left_semi")  # the size was just checked
+        usage = word.groupBy("w").agg(F.sum("low").alias("n_lower"), F.count("*").alias("n"))
+    else:
+        usage = word.groupBy("w").agg(F.sum("low").alias("n_lower"), F.count("*").alias("n")).join(wanted, "w", "left_semi")
+    ordinary = (F.coalesce("n_lower", F.lit(0)) >= ORDINARY_LEAST) & (F.col("n_lower") * 2 > F.col("n"))
+    told = used.join(usage, "w", "left").select("w", ordinary.alias("ordinary"), "given_beside", "family_beside")
+    for part in ("given", "family"):
+        spans = spans.join(told.select(F.col("w").alias(part), F.col("ordinary").alias(f"{part}_ordinary"), f"{part}_beside"), part, "left")
+    odd = F.coalesce("given_ordinary", F.lit(False)) | F.coalesce("family_ordinary", F.lit(False))
+    words = F.when(is_name & odd, -1).when(is_name, 1).otherwise(0)
     company = F.when(is_name, (F.coalesce("given_beside", F.lit(0)) > 0).cast("int") + (F.coalesce("family_beside", F.lit(0)) > 0).cast("int")).otherwise(0)
     spans = materialise(spans.select(*_ID, "v_form", "v_check", F.least("v_known", F.lit(2)).alias("v_known"), "v_label", words.alias("v_words"), company.alias("v_company"), "left", "right"), "spans")
 

@@ -105,11 +105,11 @@ def test_unseen_contexts(spark):
     assert joined == got
 
 
-def test_names_in_small_letters_after_learnt_phrases(spark):
+def test_names_in_small_letters(spark):
     known = [f"Minutes taken by {g} {f} again" for g in ("Ines", "Ruben", "Robin") for f in ("Holm", "Oak-Lind")] * 3
-    small = ["minutes taken by tilda tarnow again"] * 3
+    small = ["minutes taken by ines tarnow again", "minutes taken by tilda holm again"] * 3
     rows = [("content", i, f"All good. {t}.") for i, t in enumerate([*known, *small])]
     rows += [("content", 100 + i, f"The Cobalt Queue {i} and the robin index are warm by noon.") for i in range(20)]
     texts, parts = spark.createDataFrame(rows, "place string, row_no long, text string"), spark.createDataFrame(PARTS, "name_text string, name_kind string")
     got = {(r["row_no"], r["start_at"]) for r in P.mentions(texts, parts).where("pii_type = 'name'").collect()}
-    assert got == {(i, 28) for i in range(len(known) + len(small))}
+    assert got == {(i, 28) for i, t in enumerate([*known, *small])}
