@@ -1,16 +1,18 @@
 """Keyword-stuffed and link-list pages.
 
-Each page is described by content and link features, measured over its whole text: which share of its
-characters are sentences, links, tags, product entries, bare keyword phrases, code, or anything else, and
-how much the phrases repeat.  Weak labels come from those shares where they are plain.  Bagged decision
-trees are trained on a bounded sample of the weakly labelled pages; every page is then scored.  The
-scores are smoothed with the spam rate of the page's host, shrunk towards the overall rate.  A page
-whose smoothed score is in doubt is decided by the exact share of its characters.
+Each page is described by content and link features, measured over its whole text.  Five labelers, each
+looking at another side of a page - its links, its repetitions, its small words, its sentences, its marks of
+tags and products - vote spam, no spam or nothing; expectation-maximisation over the counts of vote
+patterns of all pages makes weak labels of the votes.  Bagged decision trees are trained on a bounded
+sample of pages whose weak label is plain; every page is then scored by the trees, and the scores are
+smoothed with the spam rate of the page's host, shrunk towards the overall rate.  The smoothed score
+decides; no rule follows it.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,52 +20,56 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from convolith.llm.language import SMALL_WORDS
+from convolith.llm.personal import reliabilities
 from convolith.shared import materialise
 
-FEATURES = ("sentence", "link", "tag", "product", "keyword", "code", "other", "distinct", "pairs", "top_phrase", "line_length", "links_per_line", "upper", "digits")
+FEATURES = ("sentence", "link", "tag", "product", "code", "loose", "stuffed", "named", "distinct", "pairs", "top_phrase", "short", "small", "line_length", "links_per_line", "upper", "digits")
 SAMPLE = 20_000  # most weakly labelled pages the trees are trained on
 TREES, DEPTH, LEAST = 25, 6, 5
-HOST_WEIGHT = 0.5  # of the host's log-odds in the smoothed score
+HOST_WEIGHT = 0.3  # of the host's log-odds in the smoothed score
 HOST_PRIOR = 20.0  # pages by which a host's rate is shrunk towards the overall one
-DOUBT = 0.30, 0.70  # smoothed scores between these are decided by the share
+PLAIN = 0.1, 0.9  # weak labels below and above these train the trees
+REPEATED = 0.4  # of the words of a sentence that stuffs keywords
 
 _LINK = re.compile(r"""<li>\s*<a\s[^<>]*>[^<>]*</a>\s*</li>|<a\s[^<>]*>[^<>]*</a>|!?\[[^\[\]\n]*\]\([^()\s]*\)|(?:https?://|www\.)[^\s<>"')\]]+""", re.I)
 _TAG = re.compile(r"#[^\W\d]\w*|\btags?:\s?[\w-]+|\B@[a-z]\w+", re.I)
 _PRODUCT = re.compile(r"\b(?:SKU|EAN|ISBN|ASIN|ART|ITEM)[-: #]*[\w-]*\d[\w-]*|[€$£]\s?\d+(?:[.,]\d+)?|\b\d+(?:[.,]\d+)?\s?(?:EUR|USD|GBP|CHF|€|\$|£)(?!\w)", re.I)
-_PLAIN_LINE = re.compile(r"[.!?:。！？…]['\"”’»)\]*_]*\s*$")
 _SUSPECT = re.compile(r"https?:|www\.|<a\s|\]\(|#\w|\btags?:|\bSKU|[€$£]|\b(?:EUR|USD)\b", re.I)
 _SENTENCE_END = re.compile(r"(?<=[.!?。！？])\s+|(?<=[。！？])")
 _ENDED = re.compile(r"[.!?。！？…]['\"”’»)\]*_]*$")
 _WORD = re.compile(r"[^\W_]+(?:['’-][^\W_]+)*")
 _CJK = re.compile(r"[぀-ヿ㐀-鿿]")
 _PART = re.compile(r"\s*(?:[,;|/•·*]+|\s[-–—]\s|\n)\s*")
+_SMALL = frozenset(w for words in SMALL_WORDS.values() for w in words.split())
 _STYLE = re.compile(r"</?(?:b|i|u|p|br|em|strong|span|code|small|sub|sup|div)(?:\s[^<>]*)?/?>", re.I)
 _FENCE = re.compile(r"^\s*(?:```|~~~)")
 
 
 def _says_something(piece: str) -> bool:
-    """A finished sentence of at least four different words."""
+    """A finished sentence of at least four words that is not made of repetitions."""
     if not _ENDED.search(piece):
         return False
     cjk = len(_CJK.findall(piece))
     if cjk >= 5:
         return len(set(piece)) * 3 > min(len(piece), 60)
-    words = piece.lower().split()
+    words = _WORD.findall(piece.lower())
     return len(words) >= 4 and not _repeats(words)
 
 
-def _repeats(words: list[str], pairs: float = 0.7) -> bool:
-    """Stuffed keywords, also if joined by small words, repeat themselves and their pairs; prose hardly does."""
-    n = len(words)
-    return len(set(words)) <= 0.4 * min(n, 25) or n >= 8 and len(set(zip(words, words[1:], strict=False))) <= pairs * (n - 1)
+def _repeats(words: list[str]) -> bool:
+    """Stuffed keywords come again within one sentence, also if joined by small words; in prose hardly any does."""
+    counts = Counter(w for w in words if w not in _SMALL and not w[0].isdigit())
+    again = sum(n for n in counts.values() if n > 1)
+    return again > REPEATED * len(words) or len(words) >= 8 and len(set(zip(words, words[1:], strict=False))) <= 0.7 * (len(words) - 1)
 
 
 def features(text: str) -> tuple[float, ...]:
-    """The values named in FEATURES and the exact share of spam among the visible characters."""
-    size = dict.fromkeys(("sentence", "link", "tag", "product", "code", "other", "loose"), 0)
+    """The values named in FEATURES."""
+    size = dict.fromkeys(("sentence", "link", "tag", "product", "code", "loose", "stuffed", "named"), 0)
     loose: list[str] = []
     fenced = False
-    n_lines = n_links = beside = 0
+    n_lines = n_links = 0
     if "<" in text:
         text = _STYLE.sub("", text)
     for line in text.split("\n"):
@@ -79,12 +85,8 @@ def features(text: str) -> tuple[float, ...]:
             continue
         n_lines += 1
         marks = 0
-        if not _SUSPECT.search(line):
-            if _PLAIN_LINE.search(line) and _says_something(line):
-                size["sentence"] += len(line)
-                continue
-            rest = line
-        else:
+        rest = line
+        if _SUSPECT.search(line):
             found = _LINK.findall(line)
             n_links += len(found)
             marks = len(found)
@@ -96,49 +98,69 @@ def features(text: str) -> tuple[float, ...]:
                     marks += len(got)
                     size[name] += sum(map(len, got))
                     rest = pattern.sub(" ", rest)
-        whole = rest.lower().split()
-        stuffed = len(whole) >= 16 and _repeats(whole, 0.45)
-        for piece in [rest] if stuffed else _SENTENCE_END.split(rest):
+        for piece in _SENTENCE_END.split(rest):
             piece = piece.strip(" \t-*:|>#")
             if not piece:
                 continue
-            if not stuffed and _says_something(piece):
+            if _says_something(piece):
                 size["sentence"] += len(piece)
+                continue
+            loose.append(piece)
+            if _repeats(_WORD.findall(piece.lower())):
+                size["stuffed"] += len(piece)
+            elif piece.count(" ") < 8 * marks:  # the name of what is linked, tagged or sold
+                size["named"] += len(piece)
             else:
                 size["loose"] += len(piece)
-                loose.append(piece)
-                if piece.count(" ") < 8 * marks:  # the name of what is linked, tagged or sold
-                    beside += len(piece)
     words = [w.lower() for p in loose for w in (_CJK.findall(p) if len(_CJK.findall(p)) > 3 else _WORD.findall(p))]
     phrases = [x.strip().lower() for p in loose for x in _PART.split(p) if x.strip()]
     distinct = len(set(words)) / len(words) if words else 1.0
     pairs = len(set(zip(words, words[1:], strict=False))) / (len(words) - 1) if len(words) > 1 else 1.0
-    top = max(map(phrases.count, set(phrases))) / len(phrases) if 0 < len(phrases) <= 400 else (pd.Series(phrases).value_counts().iloc[0] / len(phrases) if phrases else 0.0)
-    # bare phrases are keywords if they are short and repeat; of other loose text, pairs of words must repeat
-    short = len(phrases) >= 5 and len(words) <= 4.0 * len(phrases)
-    listed = len(words) >= 6 and distinct < 0.75 and (short or pairs < 0.82)
-    marked = size["link"] + size["tag"] + size["product"]
-    keyword = size["loose"] if listed else beside
-    size["other"] = size["loose"] - keyword
-    total = sum(size[k] for k in ("sentence", "link", "tag", "product", "code", "other")) + keyword or 1
+    top = max(Counter(phrases).values()) / len(phrases) if phrases else 0.0
+    short = len(words) / len(phrases) if phrases else 0.0
+    every = _WORD.findall(text.lower())
+    small = sum(w in _SMALL for w in every) / len(every) if every else 0.0
+    total = sum(size.values()) or 1
     upper = sum(map(str.isupper, text)) / max(1, len(text))
     digits = sum(map(str.isdigit, text)) / max(1, len(text))
-    share = (marked + keyword) / total
-    return (size["sentence"] / total, size["link"] / total, size["tag"] / total, size["product"] / total, keyword / total, size["code"] / total, size["other"] / total, distinct, pairs, top, min(400.0, len(text) / max(1, n_lines)), n_links / max(1, n_lines), upper, digits, share)
+    return (*(v / total for v in size.values()), distinct, pairs, top, min(20.0, short), small, min(400.0, len(text) / max(1, n_lines)), n_links / max(1, n_lines), upper, digits)
+
+
+#: The labelers: spam if the first holds, no spam if the second does, else no vote.
+LABELERS = {
+    "links": ("link + named > 0.6", "link < 0.2"),
+    "repetitions": ("stuffed > 0.4 or loose + stuffed > 0.4 and distinct < 0.6 and pairs < 0.8", "stuffed < 0.1 and distinct > 0.7"),
+    "small_words": ("small < 0.12 and code < 0.5", "small > 0.3"),
+    "sentences": ("sentence + code < 0.25", "sentence + code > 0.6"),
+    "marks": ("tag + product + link > 0.4", "tag + product + link < 0.05"),
+}
 
 
 def described(documents: DataFrame, doc_id: str, text: str, host: str) -> DataFrame:
-    """doc_id, host, x (array of the features), share for each page with a visible text."""
+    """doc_id, host and the features of each page with a visible text."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             if not len(pdf):
                 continue
-            got = [features(t) for t in pdf["text"]]
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "host": pdf["host"], "x": [list(g[:-1]) for g in got], "share": [g[-1] for g in got]})
+            got = np.array([features(t) for t in pdf["text"]], dtype=np.float32)
+            yield pd.DataFrame({"doc_id": pdf["doc_id"].to_numpy(), "host": pdf["host"].to_numpy(), **{name: got[:, k] for k, name in enumerate(FEATURES)}})
 
     rows = documents.select(F.col(doc_id).alias("doc_id"), F.col(host).cast("string").alias("host"), F.col(text).alias("text")).where(F.col("text").rlike(r"[^\s\p{Z}\p{Cc}\p{Cf}]"))
-    return rows.mapInPandas(run, f"doc_id {documents.schema[doc_id].dataType.simpleString()}, host string, x array<float>, share double")
+    return rows.mapInPandas(run, f"doc_id {documents.schema[doc_id].dataType.simpleString()}, host string, " + ", ".join(f"{f} float" for f in FEATURES))
+
+
+def labelled(pages: DataFrame) -> DataFrame:
+    """``pages`` with weak, the posterior of spam by the labelers' votes: EM over at most 3 ** 5 patterns."""
+    voted = pages.withColumns({f"v_{name}": F.expr(f"case when {spam} then 1 when {ham} then -1 else 0 end") for name, (spam, ham) in LABELERS.items()})
+    votes = [f"v_{name}" for name in LABELERS]
+    counted = voted.groupBy(*votes).count().orderBy(*votes).toPandas()
+    if not len(counted):
+        return pages.withColumn("weak", F.lit(None).cast("double"))
+    patterns = counted[votes].to_numpy(int) + 1
+    weak, _ = reliabilities(patterns, counted["count"].to_numpy(float), 1 / (1 + np.exp(-2.0 * (patterns - 1).sum(axis=1))))
+    table = pages.sparkSession.createDataFrame(counted[votes].assign(weak=weak))
+    return voted.join(F.broadcast(table), votes).drop(*votes)  # a row for each pattern
 
 
 class BaggedTrees:
@@ -193,39 +215,38 @@ class BaggedTrees:
 
 
 def train(pages: DataFrame, sample: int = SAMPLE) -> BaggedTrees | None:
-    """Trees from weak labels: spam where the share is above a half by a margin, not where below by one.
+    """Trees from pages with a plain weak label; None where all are of one kind.
 
-    At most ``sample`` pages of each label are taken to the driver, those with the least hash.
+    At most ``sample`` pages of the two labels are taken to the driver, those with the least hash.
     """
-    label = F.when(F.col("share") > 0.55, 1).when(F.col("share") < 0.45, 0)
-    weak = pages.withColumn("y", label).where("y is not null")
-    got = [weak.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").select("x", "y").limit(sample // 2).toPandas() for y in (0, 1)]
-    both = pd.concat(got)
+    plain = pages.withColumn("y", F.when(F.col("weak") > PLAIN[1], 1).when(F.col("weak") < PLAIN[0], 0)).where("y is not null")
+    got = [plain.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").select(*FEATURES, "y").limit(sample // 2).toPandas() for y in (0, 1)]
     if not len(got[0]) or not len(got[1]):
         return None
-    return BaggedTrees(np.array(both["x"].tolist(), float), both["y"].to_numpy(float))
+    both = pd.concat(got)
+    return BaggedTrees(both[list(FEATURES)].to_numpy(float), both["y"].to_numpy(float))
 
 
 def spam_pages(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", host: str = "source", sample: int = SAMPLE) -> DataFrame:
-    """doc_id, score, host_rate, share for each page that is spam.
+    """doc_id, score, host_rate for each page that is spam.
 
     Defined cases: null, empty and blank texts are no pages; pages with a null host share one host; a
-    repeated row gives one row; where the weak labels are all of one kind the share alone decides; an
+    repeated row gives one row; where the weak labels are all of one kind they decide by themselves; an
     empty table gives an empty result; texts of any length are measured whole; extra columns are
     ignored.
     """
     spark = documents.sparkSession
-    pages = materialise(described(documents, doc_id, text, host), "pages")
+    pages = labelled(materialise(described(documents, doc_id, text, host), "pages"))
     model = train(pages, sample)
     if model is None:
-        return pages.where("share > 0.5").select("doc_id", F.lit(1.0).alias("score"), F.lit(1.0).alias("host_rate"), "share").distinct()
+        return pages.where("weak > 0.5").select("doc_id", F.col("weak").alias("score"), F.lit(1.0).alias("host_rate")).distinct()
     shared = spark.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")
-    def predict(x: pd.Series) -> pd.Series:
-        return pd.Series(shared.value.predict(np.array(x.tolist(), float).reshape(-1, len(FEATURES))))
+    def predict(*x: pd.Series) -> pd.Series:
+        return pd.Series(shared.value.predict(np.stack([c.to_numpy(float) for c in x], axis=1)))
 
-    scored = materialise(pages.select("doc_id", "host", "share", predict("x").alias("p")), "scored")
+    scored = materialise(pages.select("doc_id", "host", predict(*FEATURES).alias("p")), "scored")
     total = scored.agg(F.avg("p").alias("p")).first()["p"]
     # a host that holds a third of all pages is combined map-side; the rates are joined back by host
     rates = scored.groupBy("host").agg(((F.sum("p") + F.lit(HOST_PRIOR * total)) / (F.count("*") + F.lit(HOST_PRIOR))).alias("host_rate"))
@@ -234,5 +255,4 @@ def spam_pages(documents: DataFrame, doc_id: str = "doc_id", text: str = "text",
     clip = lambda c: F.greatest(F.lit(1e-3), F.least(F.lit(1 - 1e-3), c))
     shift = logit(clip(F.col("host_rate"))) - float(np.log(max(1e-3, total) / max(1e-3, 1 - total)))
     smoothed = joined.withColumn("score", 1 / (1 + F.exp(-(logit(clip(F.col("p"))) + HOST_WEIGHT * shift))))
-    spam = F.when(F.col("score").between(*DOUBT), F.col("share") > 0.5).otherwise(F.col("score") > 0.5)
-    return smoothed.where(spam).select("doc_id", "score", "host_rate", "share").distinct()
+    return smoothed.where("score > 0.5").select("doc_id", "score", "host_rate").distinct()
