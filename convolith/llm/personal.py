@@ -87,7 +87,7 @@ _RIVAL = {"phone": "identity_number", "identity_number": "phone"}
 #: A number is an amount before these, and part of something longer before more letters, digits or a sign.
 _AMOUNT = re.compile(r"^(?:\s*(?:bytes?|[kmgt]i?b|ms|s|sec(?:ond)?s?|min(?:ute)?s?|hours?|days?|rows?|lines?|files?|records?|items?|tokens?|users?|events?|percent|eur|usd)\b|[-:/.]?\w|\s*%)", re.I)
 
-_SMALL = frozenset(w for words in SMALL_WORDS.values() for w in words.split()) | frozenset("about after again all also any ask best bitte call called can cc dear did do does first found from get give had has have hello her here his how its just keep last let like look made make many may me mein meine mi mon more my name need new next no notes now off on one only our out over own please regards said saludos see send set she should since some still summarise take tell than thanks they too took try two under until up us use used very via viele was way were what where which while who will without would write yes your".split())
+_SMALL = frozenset(w for words in SMALL_WORDS.values() for w in words.split()) | frozenset("about after again all also any ask atentamente best bitte call called can cc cordialement dear did do does first found from get give gruß grüße had has have hello her here his how its just keep last let like look made make many may me mein meine mi mon more my name need new next no notes now off on one only our out over own please regards said saludos see send set she should since some still summarise take tell than thanks they too took try two under until up us use used very via viele was way were what where which while who will without would write yes your".split())
 _PARTICLES = frozenset("van von de der den del della di da la le ter ten bin ibn al el zu zur dos das du des vom af av".split())
 _WORD = re.compile(rf"{_L}+(?:['’-]{_L}+)*")
 _BESIDE = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*|\d+|\n|[^\w\s]")
