@@ -21,13 +21,15 @@ from pyspark.sql import functions as F
 
 from convolith.functions.metadata import sink
 from convolith.operators import blocks, browse, events, search, stats
-from convolith.schema import ARCHIVE_MESSAGES, ARCHIVE_SESSIONS, BLOCK_INDEX, EVENT, TOKEN_INDEX
-from convolith.shared import ship_package
+from convolith.schema import ARCHIVE_MESSAGES, ARCHIVE_SESSIONS, BLOCK_INDEX, EVENT, MESSAGE, TOKEN_INDEX
+from convolith.shared import materialise, ship_package
 
 FORMAT = 1
 WAL_LIMIT = 256 * 1024
 LOCK_SECONDS, LOCK_POLL = 5.0, 0.05
 PLACE = ["segment", "block_seq", "pos"]
+LISTED = 1000  # most blocks that are named to a scan instead of joined
+SPREAD = 5000  # messages of a session that one task writes
 
 
 class ArchiveError(RuntimeError):
@@ -164,43 +166,50 @@ class Archive:
 
     # -- writing -------------------------------------------------------------------------------
 
-    def _write_blocks(self, m: dict, rows: DataFrame, per_block: int | None) -> int:
-        """Write sessions (ord and the session fields) as blocks; they are in ``m`` afterwards."""
-        rows = rows.persist()
+    def _write_blocks(self, m: dict, sessions: DataFrame, messages: DataFrame, per_block: int | None) -> int:
+        """Write sessions (ord and their fields) and messages (ord, seq and theirs) as blocks; they are in ``m`` afterwards.
+
+        Neither is ever gathered: sessions get their place, messages take it over by ``ord``.
+        """
+        said = materialise(messages, "messages")
+        held = said.groupBy("ord").agg(F.count("*").alias("message_count"), F.sum(F.octet_length(F.to_json(F.struct(*MESSAGE.fieldNames())))).alias("bytes"))
+        rows = materialise(sessions.join(held, "ord", "left").na.fill(0, ["message_count", "bytes"]), "sessions")
         count = rows.count()
         if not count:
-            rows.unpersist()
             return 0
         active = self.active_segment(m)
-        old = m["segments"].get(str(active), {"bytes": 0, "blocks": 0, "next_block": 0})
-        if old["bytes"] >= self.segment_bytes:
-            active, old = active + 1, {"bytes": 0, "blocks": 0, "next_block": 0}
-        placed = blocks.bulk_blocks(rows, ["ord"], per_block or max(1, count))
-        size = F.length(F.to_json("messages"))
-        summary = placed.groupBy("block_no").agg(F.sum(size).alias("bytes"))
-        at = blocks.segments(summary.withColumn("bytes", F.coalesce("bytes", F.lit(2))), ["block_no"], F.col("bytes"), max(1, self.segment_bytes - old["bytes"]) if count and old["bytes"] else self.segment_bytes)
-        placed = placed.join(at.select("block_no", (F.col("segment_no") + active - 1).cast("int").alias("segment")), "block_no")
-        placed = placed.withColumn("block_seq", (F.col("block_no") + old.get("next_block", 0)).cast("long"))
+        old = m["segments"].get(str(active), {})
+        placed = blocks.bulk_blocks(rows, ["ord"], per_block or count)
+        # one unit of size for what is there and what is added: the bytes of the messages as JSON
+        summary = placed.groupBy("block_no").agg(F.sum("bytes").alias("bytes"))
+        at = blocks.segments(summary, ["block_no"], F.col("bytes"), self.segment_bytes, old.get("raw", 0), active).select("block_no", F.col("bytes").alias("_raw"), F.col("segment_no").cast("int").alias("segment"))
+        at = materialise(at, "segments")
+        # numbers of blocks go on in the active segment, and start anew in each new one
+        begins = at.groupBy("segment").agg(F.min("block_no").alias("_begin"), F.sum("_raw").alias("raw"), F.count("*").alias("blocks"))
+        kept = F.when(F.col("segment") == active, F.lit(old.get("next_block", 0))).otherwise(0)
+        at = at.join(begins.select("segment", "_begin"), "segment").select("block_no", "segment", (F.col("block_no") - F.col("_begin") + kept).cast("long").alias("block_seq"))
         gen = f"data/{uuid.uuid4().hex}"
-        place = [F.col("segment"), F.col("block_seq"), F.col("pos")]
-        sessions = placed.select(*place, "id", "title", "source", "model", F.col("created_at").cast("decimal(20,0)").alias("created_at"), "metadata_json", F.size("messages").cast("long").alias("message_count"))
-        said = placed.select(*place, F.posexplode("messages").alias("seq", "m")).select(*place, (F.col("seq") + 1).alias("seq"), "m.*")
-        self._store(sessions, f"{gen}/sessions")
-        self._store(said, f"{gen}/messages")
-        rows.unpersist()
-        written = self.spark.read.parquet(f"{self.root}/{gen}/sessions").groupBy("seg").agg(F.countDistinct("block_seq").alias("n"), F.max("block_seq").alias("last")).collect()  # a row for each segment
-        for r in written:
-            s = m["segments"].setdefault(str(r["seg"]), {"data": [], "index": [], "bytes": 0, "blocks": 0, "next_block": 0})
+        placed = materialise(placed.join(at, "block_no"), "placed")
+        out = placed.select(*PLACE, "id", "title", "source", "model", F.col("created_at").cast("decimal(20,0)").alias("created_at"), "metadata_json", "message_count")
+        self._store(out, f"{gen}/sessions")
+        self._store(said.join(placed.select("ord", *PLACE), "ord").select(*ARCHIVE_MESSAGES.fieldNames()), f"{gen}/messages", spread="seq")
+        for r in begins.collect():  # a row for each segment
+            n = str(r["segment"])
+            s = m["segments"].setdefault(n, {"data": [], "index": [], "bytes": 0, "raw": 0, "blocks": 0, "next_block": 0})
             s["data"].append(gen)
-            s["blocks"] += r["n"]
-            s["next_block"] = r["last"] + 1
-            s["bytes"] += self._bytes(f"{gen}/sessions/seg={r['seg']}") + self._bytes(f"{gen}/messages/seg={r['seg']}")
+            s["blocks"] += r["blocks"]
+            s["next_block"] += r["blocks"]
+            s["raw"] = s.get("raw", 0) + int(r["raw"])
+            s["bytes"] += self._bytes(f"{gen}/sessions/seg={n}") + self._bytes(f"{gen}/messages/seg={n}")
             if s.get("index") is not None:
-                s["index"].append(self._write_index({"segments": {str(r["seg"]): {"data": [gen]}}}))
+                s["index"].append(self._write_index({"segments": {n: {"data": [gen]}}}))
         return count
 
-    def _store(self, df: DataFrame, name: str, order: tuple[str, ...] = ("block_seq",), level: int | None = None) -> None:
-        out = df.withColumn("seg", F.col("segment")).repartition("seg", *order).sortWithinPartitions("seg", *order).write.mode("error").partitionBy("seg").option("compression", "zstd")
+    def _store(self, df: DataFrame, name: str, order: tuple[str, ...] = ("block_seq",), level: int | None = None, spread: str | None = None) -> None:
+        """Files clustered by segment and ``order``; a long run of ``spread`` numbers is shared by several tasks."""
+        keys = [F.col("seg"), *map(F.col, order), *([F.floor(F.col(spread) / SPREAD)] if spread else [])]
+        inside = [*order, *[c for c in ("pos", "seq") if c in df.columns]]
+        out = df.withColumn("seg", F.col("segment")).repartition(*keys).sortWithinPartitions("seg", *inside).write.mode("error").partitionBy("seg").option("compression", "zstd")
         if level is not None:
             out = out.option("parquet.compression.codec.zstd.level", level)
         out.parquet(f"{self.root}/{name}")
@@ -217,18 +226,28 @@ class Archive:
         self._store(search.token_index(keyed, said, "_place", "_place").select(*TOKEN_INDEX.fieldNames()), f"{gen}/tokens", ("token",))
         return gen
 
+    @staticmethod
+    def _flat(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Sessions and messages of rows that hold their messages as an array."""
+        said = rows.select("ord", F.posexplode("messages").alias("seq", "m")).select("ord", (F.col("seq") + 1).alias("seq"), "m.*")
+        return rows.drop("messages"), said
+
     def append_session(self, rows: DataFrame) -> int:
         with self.lock():
             m = self.manifest()
-            n = self._write_blocks(m, rows, None)
+            n = self._write_blocks(m, *self._flat(rows), None)
             self._commit(m)
             return n
 
     def append_bulk(self, rows: DataFrame) -> int:
         """Sessions in blocks of a hundred, past the event log; ids are not checked."""
+        return self.append_tables(*self._flat(rows))
+
+    def append_tables(self, sessions: DataFrame, messages: DataFrame) -> int:
+        """The same from two tables: sessions with ``ord``, a number, and messages with the ord of theirs and seq."""
         with self.lock():
             m = self.manifest()
-            n = self._write_blocks(m, rows, blocks.BULK)
+            n = self._write_blocks(m, sessions, messages, blocks.BULK)
             self._commit(m)
             return n
 
@@ -278,15 +297,17 @@ class Archive:
         self._need_index(m)
         archived = self.sessions(m).select("id")
         fresh = events.to_archive(log, archived)
-        said = events.pending_messages(log).groupBy("session_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("seq", "message"))), lambda x: x["message"]).alias("messages"))
-        rows = fresh.join(said, fresh["id"] == said["session_id"], "left").select(F.col("end_seq").alias("ord"), "id", "title", "source", "model", "created_at", "metadata_json", F.coalesce("messages", F.array().cast("array<" + EVENT["message"].dataType.simpleString() + ">")).alias("messages"))
+        # several finalizes may share a place only if sequence numbers do; the id settles it
+        order = blocks.ranked(fresh, ["end_seq", "id"]).withColumnRenamed("rn", "ord")
+        rows = materialise(order.select("ord", "id", "title", "source", "model", "created_at", "metadata_json"), "finished")
+        said = events.pending_messages(log).join(rows.select("ord", F.col("id").alias("session_id")), "session_id").select("ord", F.col("seq").cast("int").alias("seq"), "message.*")
         known = finished.join(archived.select(F.col("id").alias("session_id")).distinct(), "session_id", "left_semi")
         rejects = log.join(known, "session_id", "left_semi")
         if not rejects.isEmpty():
             name = f"rejects/{uuid.uuid4().hex}"
             rejects.write.parquet(f"{self.root}/{name}")
             m["rejects"].append(name)
-        count = self._write_blocks(m, rows, None)
+        count = self._write_blocks(m, rows, said, None)
         rest = events.compacted(log, finished)
         name = f"wal/{uuid.uuid4().hex}"
         rest.write.option("compression", "zstd").parquet(f"{self.root}/{name}")
@@ -317,26 +338,46 @@ class Archive:
         both = self._both(m, self.sessions(m), self._pending(m))
         return browse.first_wins(both, "id", F.desc("src"), *PLACE)
 
+    def _within(self, m: dict, places: DataFrame, kinds: tuple[str, ...]) -> list[DataFrame]:
+        """The tables of ``kinds`` cut to the blocks of ``places`` (segment, block_seq), one row each.
+
+        A few blocks become a list: only the folders of their segments are read, and the numbers of blocks,
+        by which files are clustered, reach the scan as a filter.  Many are joined.
+        """
+        found = places.limit(LISTED + 1).collect()
+        schemas = {"sessions": ARCHIVE_SESSIONS, "messages": ARCHIVE_MESSAGES}
+        if len(found) > LISTED:
+            return [self._read(m, "data", schemas[k], k).join(places, ["segment", "block_seq"], "left_semi") for k in kinds]
+        by: dict[int, list[int]] = {}
+        for r in found:
+            by.setdefault(r["segment"], []).append(r["block_seq"])
+        inside = F.lit(False)
+        for n, numbers in by.items():
+            inside = inside | ((F.col("segment") == n) & F.col("block_seq").isin(numbers))
+        only = [str(n) for n in by]
+        every = sorted({b for numbers in by.values() for b in numbers})
+        return [self._read(m, "data", schemas[k], k, only).where(F.col("block_seq").isin(every) & inside) for k in kinds]
+
     def search(self, query: str, after: int | None = None, before: int | None = None, mode: str = "indexed") -> DataFrame:
         """Matching sessions, pending ones first.  Mode ``literal`` doesn't let the index gate words."""
         m = self.manifest()
-        sessions, messages = self.sessions(m), self.messages(m)
-        keyed = sessions.withColumn("_place", F.struct(*PLACE))
-        said = messages.select(F.struct(*PLACE).alias("_place"), *PLACE[:2], "content")
         if mode == "indexed":
             self._need_index(m)
-            hits = search.search_indexed(keyed, said, self.block_index(m), self.token_index(m), "_place", "_place", query, after, before)
+            # every segment has its index here, so what survives is all that has to be read
+            places = search.surviving_blocks(self.block_index(m), self.token_index(m), query, after, before).distinct()
+            sessions, messages = self._within(m, places, ("sessions", "messages"))
         else:
-            hits = search.matching(keyed, said, "_place", "_place", query, after, before)
+            sessions, messages = self.sessions(m), self.messages(m)
+        hits = search.matching(sessions.withColumn("_place", F.struct(*PLACE)), messages.select(F.struct(*PLACE).alias("_place"), "content"), "_place", "_place", query, after, before)
         log = self.events(m)
         waiting = search.matching(self._pending(m), events.pending_messages(log).select("session_id", F.col("message.content").alias("content")), "id", "session_id", query, after, before)
         both = browse.first_wins(self._both(m, hits, waiting), "id", "src", *PLACE)
         return both.orderBy("src", *PLACE)
 
-    def nested(self, chosen: DataFrame) -> DataFrame:
+    def nested(self, chosen: DataFrame, messages: DataFrame | None = None) -> DataFrame:
         """Chosen sessions with their messages as one array each, for output."""
         m = self.manifest()
-        said = self.messages(m).select(F.lit(1).alias("src"), *[F.col(c).cast("long").alias(c) for c in PLACE], "seq", F.struct(*EVENT["message"].dataType.fieldNames()).alias("message"))
+        said = (self.messages(m) if messages is None else messages).select(F.lit(1).alias("src"), *[F.col(c).cast("long").alias(c) for c in PLACE], "seq", F.struct(*EVENT["message"].dataType.fieldNames()).alias("message"))
         waiting = events.pending_messages(self.events(m)).select("session_id", "seq", "message")
         a = chosen.where("src = 1").join(said, ["src", *PLACE]).select("id", "seq", "message")
         p = waiting.join(chosen.where("src = 0").select(F.col("id").alias("session_id")), "session_id").select(F.col("session_id").alias("id"), "seq", "message")
@@ -348,10 +389,10 @@ class Archive:
         """The session of an id: pending before archive, then the earliest; no row if there is none."""
         m = self.manifest()
         self._need_index(m)
-        where = self.block_index(m).where(F.array_contains("session_ids", id)).select("segment", "block_seq")
-        archived = self.sessions(m).where(F.col("id") == id).join(where, ["segment", "block_seq"], "left_semi")
+        where = self.block_index(m).where(F.array_contains("session_ids", id)).select("segment", "block_seq").distinct()
+        sessions, messages = self._within(m, where, ("sessions", "messages"))
         waiting = self._pending(m).where(F.col("id") == id)
-        return self.nested(self._both(m, archived, waiting).orderBy("src", *PLACE).limit(1))
+        return self.nested(self._both(m, sessions.where(F.col("id") == id), waiting).orderBy("src", *PLACE).limit(1), messages)
 
     def first(self, n: int = 10) -> DataFrame:
         return browse.first_n(self.scan(), ["segment", "block_seq", "pos"], n)
@@ -424,10 +465,10 @@ class Archive:
             put: dict[str, Column] = {"block_seq": F.col("new_block"), "pos": F.col("new_at")}
             gen = f"data/{uuid.uuid4().hex}"
             self._store(sessions.join(new, PLACE).withColumns(put).select(*ARCHIVE_SESSIONS.fieldNames()), f"{gen}/sessions", level=19)
-            self._store(messages.join(new, PLACE).withColumns(put).select(*ARCHIVE_MESSAGES.fieldNames()), f"{gen}/messages", level=19)
+            self._store(messages.join(new, PLACE).withColumns(put).select(*ARCHIVE_MESSAGES.fieldNames()), f"{gen}/messages", level=19, spread="seq")
             done = new.agg(F.countDistinct("new_block").alias("b"), F.count("*").alias("n")).first()
             new.unpersist()
-            s = {"data": [gen], "index": [], "blocks": done["b"], "next_block": done["b"], "bytes": self._bytes(f"{gen}/sessions/seg={active}") + self._bytes(f"{gen}/messages/seg={active}")}
+            s = {"data": [gen], "index": [], "blocks": done["b"], "next_block": done["b"], "raw": m["segments"][active].get("raw", 0), "bytes": self._bytes(f"{gen}/sessions/seg={active}") + self._bytes(f"{gen}/messages/seg={active}")}
             s["index"] = [self._write_index({"segments": {active: s}})]
             m["segments"][active] = s
             self._commit(m)

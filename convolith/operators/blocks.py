@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -47,17 +48,41 @@ def size_blocks(df: DataFrame, order: list[str], size: Column, target: int) -> D
     return rows.select(*df.columns, F.floor(F.col("before") / target).alias("block_no"))
 
 
-def segments(df: DataFrame, order: list[str], size: Column, limit: int = SEGMENT_BYTES) -> DataFrame:
-    """``df`` with segment: a new one starts once the bytes before a row reach the limit."""
-    rows = ranked(df, order, {"before": size})
-    return rows.select(*df.columns, (F.floor(F.col("before") / limit) + 1).alias("segment_no"))
+def segments(df: DataFrame, order: list[str], size: Column, limit: int = SEGMENT_BYTES, used: int = 0, first: int = 1) -> DataFrame:
+    """``df`` (one row a block) with segment_no: before each row, a new segment starts if the present one has reached the limit.
 
+    ``used`` bytes stand in the ``first`` segment already.  Only the order and the size of each row pass through the
+    fold, in batches, one after the other: within a batch the next start is found by bisection of the running bytes.
+    """
+    keys = [f"{c} {df.schema[c].dataType.simpleString()}" for c in order]
 
-def greedy_blocks(df: DataFrame, segment: str, order: list[str], text: str, target: int) -> DataFrame:
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        number, held = first, used
+        for pdf in batches:
+            ends = pdf["_size"].to_numpy(np.int64).cumsum()
+            out = np.empty(len(pdf), np.int64)
+            at = 0
+            while at < len(pdf):
+                if held >= limit:
+                    number, held = number + 1, 0
+                before = ends[at - 1] if at else 0
+                # rows up to the first that brings the segment to its limit
+                to = min(len(pdf), int(np.searchsorted(ends, before + limit - held, side="left")) + 1)
+                out[at:to] = number
+                held += int(ends[to - 1] - before)
+                at = to
+            yield pdf[order].assign(segment_no=out)
+
+    sizes = df.select(*order, size.cast("long").alias("_size")).orderBy(*order).coalesce(1)
+    return df.join(sizes.mapInPandas(fold, ", ".join([*keys, "segment_no long"])), order)
+
+
+def greedy_blocks(df: DataFrame, segment: str, order: list[str], text: str, target: int, level: int = 3) -> DataFrame:
     """``df`` (segment, order columns, text) with block_no by trial compression, one ordered fold a segment.
 
-    A row joins the open block.  Once the raw bytes reach twice the target, the block is compressed: beyond
-    the target it is sealed without the last row (unless that is its only one), at the target with it.
+    A row joins the open block and its text the block's compressor, a stream, so that every byte is compressed once.
+    Once the raw bytes have reached twice the target, the stream is flushed after each row: beyond the target
+    the block is sealed without the last row (unless that is its only one), at the target with it.
     Blocks are sealed at the end of a segment.  A segment is bounded by its rotation size, so the fold
     of one is a bounded task, and segments are folded side by side.
     """
@@ -65,25 +90,27 @@ def greedy_blocks(df: DataFrame, segment: str, order: list[str], text: str, targ
     schema = ", ".join(f"{c} {df.schema[c].dataType.simpleString()}" for c in keys) + ", block_no long"
 
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current, block, held, raw = None, 0, [], 0
+        codec = zstandard.ZstdCompressor(level=level)
+        current, block = None, 0
+        stream, n_rows, raw, packed = codec.compressobj(), 0, 0, 0
         for pdf in batches:
             out = []
-            for row in pdf.itertuples(index=False):
-                data = (getattr(row, text) or "").encode("utf-8", "surrogatepass")
-                seg = getattr(row, segment)
+            for seg, *rest, value in zip(pdf[segment], *[pdf[c] for c in order], pdf[text], strict=True):
+                data = (value or "").encode("utf-8", "surrogatepass")
                 if seg != current:
-                    current, block, held, raw = seg, 0, [], 0
-                held.append(data)
-                raw += len(data)
-                number = block
+                    current, block = seg, 0
+                    stream, n_rows, raw, packed = codec.compressobj(), 0, 0, 0
+                n_rows, raw, number = n_rows + 1, raw + len(data), block
+                packed += len(stream.compress(data))
                 if raw >= 2 * target:
-                    packed = len(zlib.compress(b"".join(held), 6))
-                    if packed > target and len(held) > 1:
+                    packed += len(stream.flush(zstandard.COMPRESSOBJ_FLUSH_BLOCK))
+                    if packed > target and n_rows > 1:
                         block += 1
-                        number, held, raw = block, [data], len(data)
+                        number, stream, n_rows, raw = block, codec.compressobj(), 1, len(data)
+                        packed = len(stream.compress(data))
                     elif packed >= target:
-                        block, held, raw = block + 1, [], 0
-                out.append((*[getattr(row, c) for c in keys], number))
+                        block, stream, n_rows, raw, packed = block + 1, codec.compressobj(), 0, 0, 0
+                out.append((seg, *rest, number))
             yield pd.DataFrame(out, columns=[*keys, "block_no"])
 
     rows = df.select(*keys, text).repartition(F.col(segment)).sortWithinPartitions(*keys)
