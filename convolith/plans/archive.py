@@ -413,9 +413,13 @@ def size_packing(spark, d):
     return blocks.size_blocks(_sizes(spark, d), ORDER, F.col("bytes"), 65536).select("session_no", "block_no")
 
 
-@query(f"WITH {_SIZES_SQL} SELECT session_no, CAST(floor((sum(bytes) OVER (ORDER BY {_PLACE_SQL} ROWS UNBOUNDED PRECEDING) - bytes) / 1000000) + 1 AS BIGINT) AS segment_no FROM sizes")
+@query(f"""WITH RECURSIVE {_SIZES_SQL}, o AS (SELECT session_no, CAST(bytes AS BIGINT) AS bytes, row_number() OVER (ORDER BY {_PLACE_SQL}) AS rn FROM sizes),
+f AS (SELECT rn, session_no, CAST(1 AS BIGINT) AS segment_no, bytes AS held FROM o WHERE rn = 1 UNION ALL
+  SELECT o.rn, o.session_no, CASE WHEN f.held >= 20000 THEN f.segment_no + 1 ELSE f.segment_no END, CASE WHEN f.held >= 20000 THEN o.bytes ELSE f.held + o.bytes END FROM f JOIN o ON o.rn = f.rn + 1)
+SELECT session_no, segment_no FROM f""")
 def rotation_segments(spark, d):
-    return blocks.segments(_sizes(spark, d), ORDER, F.col("bytes"), 1_000_000).select("session_no", "segment_no")
+    """A block of its own each, a segment is left once it holds 20 000 bytes."""
+    return blocks.segments(_sizes(spark, d), ORDER, F.col("bytes"), 20_000).select("session_no", "segment_no")
 
 
 @query("SELECT count(*) AS sessions, count(DISTINCT session_no) AS once, true AS in_order FROM sessions")

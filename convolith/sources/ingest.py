@@ -15,6 +15,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from convolith.functions.text import is_blank
+from convolith.operators.blocks import ranked
 from convolith.schema import EVENT, EVENT_TYPES, ROLE_ALIASES, ROLES, SESSION
 
 MOST_SECONDS = (1 << 64) - 1
@@ -166,9 +168,38 @@ def event_frame(spark: SparkSession, events: list[dict], first_seq: int = 0) ->
 
 
 def read_events(spark: SparkSession, path: str) -> DataFrame:
-    """A batch of NDJSON events from files; fails on a line that isn't an event's JSON."""
-    schema = "type string, session_id string, message struct<role: string, content: string, tool_calls: array<struct<name: string, arguments: string, id: string>>, tool_outputs: array<struct<tool_call_id: string, content: string>>, id: string, parent_id: string>"
-    return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
+    """A batch of NDJSON events from files, checked on the executors, with seq in the order of the lines.
+
+    Files count in the order of their names.  Blank lines are skipped; a bad line ends the reading.
+    """
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line")).where(~is_blank(F.col("value")))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            read = [event(parse(x)) for x in pdf["value"]]
+            yield pdf[["file", "block", "line"]].assign(**{k: [e[k] for e in read] for k in ("type", "session_id", "message", "metadata_json")})
+
+    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in EVENT.fields if f.name != "seq")
+    rows = ranked(lines.mapInPandas(run, f"file string, block long, line long, {fields}"), ["file", "block", "line"])
+    return rows.select((F.col("rn") - 1).alias("seq"), "type", "session_id", "message", "metadata_json")
+
+
+def read_sessions(df: DataFrame, json_column: str) -> DataFrame:
+    """Sessions of a table of JSON documents, one a row, with their messages; other columns are kept.
+
+    The checks are those of ``session``, made on the executors; a document that is no session ends the reading.
+    """
+    keep = [c for c in df.columns if c != json_column]
+    names = SESSION.fieldNames()
+    kinds = [f"{c} {df.schema[c].dataType.simpleString()}" for c in keep] + [f"{f.name} {'string' if f.name == 'created_at' else f.dataType.simpleString()}" for f in SESSION.fields]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            read = [session(parse(x if x is not None else "null")) for x in pdf[json_column]]
+            out = {n: [s[n] if n != "created_at" or s[n] is None else str(s[n]) for s in read] for n in names}
+            yield pdf[keep].assign(**out)[[*keep, *names]]
+
+    return df.select(*keep, json_column).mapInPandas(run, ", ".join(kinds)).withColumn("created_at", F.col("created_at").cast("decimal(20,0)"))
 
 
 def checked_sessions(df: DataFrame, json_column: str) -> DataFrame:
