@@ -35,11 +35,17 @@ REPEATED = 0.4  # of the words of a sentence that stuffs keywords
 _LINK = re.compile(r"""<li>\s*<a\s[^<>]*>[^<>]*</a>\s*</li>|<a\s[^<>]*>[^<>]*</a>|!?\[[^\[\]\n]*\]\([^()\s]*\)|(?:https?://|www\.)[^\s<>"')\]]+""", re.I)
 _TAG = re.compile(r"#[^\W\d]\w*|\btags?:\s?[\w-]+|\B@[a-z]\w+", re.I)
 _PRODUCT = re.compile(r"\b(?:SKU|EAN|ISBN|ASIN|ART|ITEM)[-: #]*[\w-]*\d[\w-]*|[€$£]\s?\d+(?:[.,]\d+)?|\b\d+(?:[.,]\d+)?\s?(?:EUR|USD|GBP|CHF|€|\$|£)(?!\w)", re.I)
+#: One of these is in whatever the next pattern finds.
+_HINTS = ("http", "www.", "<a", "](", "#", "tag", "sku", "€", "$", "£", "eur", "usd")
 _SUSPECT = re.compile(r"https?:|www\.|<a\s|\]\(|#\w|\btags?:|\bSKU|[€$£]|\b(?:EUR|USD)\b", re.I)
 _SENTENCE_END = re.compile(r"(?<=[.!?。！？])\s+|(?<=[。！？])")
 _ENDED = re.compile(r"[.!?。！？…]['\"”’»)\]*_]*$")
 _WORD = re.compile(r"[^\W_]+(?:['’-][^\W_]+)*")
 _CJK = re.compile(r"[぀-ヿ㐀-鿿]")
+_GAPS = str.maketrans(dict.fromkeys("!\"#$%&()*+,./:;<=>?@[\\]^_`{|}~", " "))
+_GAP = re.compile(r"[!-&(-,./:-@\[-`{-~…。！？、，；：“”„«»]+")
+_UPPER = re.compile("[A-ZÀ-ÖØ-ÞΑ-ΩА-ЯЁ]+")
+_DIGITS = re.compile(r"\d+")
 _PART = re.compile(r"\s*(?:[,;|/•·*]+|\s[-–—]\s|\n)\s*")
 _SMALL = frozenset(w for words in SMALL_WORDS.values() for w in words.split())
 _STYLE = re.compile(r"</?(?:b|i|u|p|br|em|strong|span|code|small|sub|sup|div)(?:\s[^<>]*)?/?>", re.I)
@@ -53,15 +59,20 @@ def _says_something(piece: str) -> bool:
     cjk = len(_CJK.findall(piece))
     if cjk >= 5:
         return len(set(piece)) * 3 > min(len(piece), 60)
-    words = _WORD.findall(piece.lower())
+    words = _words(piece)
     return len(words) >= 4 and not _repeats(words)
 
 
 def _repeats(words: list[str]) -> bool:
     """Stuffed keywords come again within one sentence, also if joined by small words; in prose hardly any does."""
-    counts = Counter(w for w in words if w not in _SMALL and not w[0].isdigit())
-    again = sum(n for n in counts.values() if n > 1)
-    return again > REPEATED * len(words) or len(words) >= 8 and len(set(zip(words, words[1:], strict=False))) <= 0.7 * (len(words) - 1)
+    telling = [w for w in words if w not in _SMALL and not w[0].isdigit()]
+    if len(set(telling)) < len(telling) and sum(n for n in Counter(telling).values() if n > 1) > REPEATED * len(words):
+        return True
+    return len(words) >= 8 and len(set(words)) <= 0.7 * len(words) and len(set(zip(words, words[1:], strict=False))) <= 0.7 * (len(words) - 1)
+
+
+def _words(piece: str) -> list[str]:
+    return (piece.lower().translate(_GAPS) if piece.isascii() else _GAP.sub(" ", piece.lower())).split()
 
 
 def features(text: str) -> tuple[float, ...]:
@@ -86,7 +97,8 @@ def features(text: str) -> tuple[float, ...]:
         n_lines += 1
         marks = 0
         rest = line
-        if _SUSPECT.search(line):
+        low = line.lower()
+        if any(x in low for x in _HINTS) and _SUSPECT.search(line):
             found = _LINK.findall(line)
             n_links += len(found)
             marks = len(found)
@@ -106,7 +118,7 @@ def features(text: str) -> tuple[float, ...]:
                 size["sentence"] += len(piece)
                 continue
             loose.append(piece)
-            if _repeats(_WORD.findall(piece.lower())):
+            if _repeats(_words(piece)):
                 size["stuffed"] += len(piece)
             elif piece.count(" ") < 8 * marks:  # the name of what is linked, tagged or sold
                 size["named"] += len(piece)
@@ -118,11 +130,11 @@ def features(text: str) -> tuple[float, ...]:
     pairs = len(set(zip(words, words[1:], strict=False))) / (len(words) - 1) if len(words) > 1 else 1.0
     top = max(Counter(phrases).values()) / len(phrases) if phrases else 0.0
     short = len(words) / len(phrases) if phrases else 0.0
-    every = _WORD.findall(text.lower())
+    every = _words(text)
     small = sum(w in _SMALL for w in every) / len(every) if every else 0.0
     total = sum(size.values()) or 1
-    upper = sum(map(str.isupper, text)) / max(1, len(text))
-    digits = sum(map(str.isdigit, text)) / max(1, len(text))
+    upper = sum(map(len, _UPPER.findall(text))) / max(1, len(text))
+    digits = sum(map(len, _DIGITS.findall(text))) / max(1, len(text))
     return (*(v / total for v in size.values()), distinct, pairs, top, min(20.0, short), small, min(400.0, len(text) / max(1, n_lines)), n_links / max(1, n_lines), upper, digits)
 
 
