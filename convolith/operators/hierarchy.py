@@ -138,7 +138,7 @@ def _local(nodes: DataFrame, with_path: bool, rows: int) -> DataFrame:
 
 def _distributed(nodes: DataFrame, with_path: bool) -> DataFrame:
     """The same contraction as DataFrame rounds; state and records live in the shared folder."""
-    node = F.xxhash64("tree", "id")  # only as a join accelerator; equality is always on (tree, id)
+    node = F.xxhash64("tree", "id")  # seeds the coin of each round; equality is always on (tree, id)
     parents = nodes.select(F.col("tree").alias("pt"), F.col("id").alias("pi"))
     linked = nodes.join(parents, (nodes["tree"] == F.col("pt")) & (nodes["parent"] == F.col("pi")), "left")
     state = materialise(linked.select("tree", "id", F.col("pi").alias("p"), F.lit(1).cast("long").alias("own"), F.lit(0).cast("long").alias("over"), F.array().cast("array<string>").alias("via") if with_path else F.lit(1).cast("long").alias("via"), node.alias("h")), "hierarchy")

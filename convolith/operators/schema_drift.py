@@ -176,10 +176,11 @@ def schema_changes(df: DataFrame, feed: str = "feed", file_no: str = "file_no",
     cols = ["kind", "shapes", "tokens", "low", "high"]
     old = profile.join(later.withColumnRenamed("file_no", "next_no").withColumnRenamed("prev_no", "file_no"), ["feed", "file_no"]).select("feed", F.col("next_no").alias("file_no"), "key", *[F.col(c).alias(f"old_{c}") for c in cols], F.lit(1).alias("in_old"))
     new = profile.join(later.select("feed", "file_no"), ["feed", "file_no"]).select("feed", "file_no", "key", *[F.col(c).alias(f"new_{c}") for c in cols], F.lit(1).alias("in_new"))
-    both = old.join(new, ["feed", "file_no", "key"], "full")
+    both = materialise(old.join(new, ["feed", "file_no", "key"], "full"), "both")
     retyped = both.where("old_kind <> new_kind").select("feed", "file_no", F.lit("retyped").alias("change_type"), F.col("key").alias("field_name"), F.col("new_kind").alias("to_name"))
     gone, fresh = both.where("in_new is null"), both.where("in_old is null")
     pairs = gone.select("feed", "file_no", F.col("key").alias("old_key"), *[f"old_{c}" for c in cols]).join(fresh.select("feed", "file_no", F.col("key").alias("new_key"), *[f"new_{c}" for c in cols]), ["feed", "file_no"]).where("old_kind = new_kind").withColumnRenamed("old_kind", "kind").drop("new_kind")
+    pairs = materialise(pairs, "pairs")
     edges = pairs.select("feed", "file_no", "old_key", "new_key").join(later, ["feed", "file_no"])
     value = keys.where("value is not null and record is not null").select("feed", "file_no", "record", "key", "value").distinct()
     before = edges.join(value.select("feed", F.col("file_no").alias("prev_no"), F.col("key").alias("old_key"), "record", F.col("value").alias("old_value")), ["feed", "prev_no", "old_key"])

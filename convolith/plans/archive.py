@@ -493,16 +493,17 @@ def disk_megabytes(spark, d):
 def stream_equals_batch(spark, d):
     """Sessions folded by the stateful stream against the batch fold: messages, and how many differ.
 
-    One batch of all events in order of arrival; every event after a session's finalize, which the
-    stream sees only in later batches, is part of the same batch here.
+    The events arrive in four batches, by their number, cut without regard to sessions.
     """
     from convolith.shared import scratch_path
     from convolith.streaming.sessionizer import sessionized
 
     log = _log(spark, d)
     place, state, out = (scratch_path(spark, x) for x in ("events", "state", "folded"))
-    log.write.parquet(place)
-    stream = sessionized(spark.readStream.schema(log.schema).parquet(place))
+    cuts = [float("-inf"), *log.approxQuantile("seq", [0.25, 0.5, 0.75], 0.01), float("inf")]
+    for low, high in zip(cuts, cuts[1:], strict=False):
+        log.where((F.col("seq") >= low) & (F.col("seq") < high)).coalesce(1).write.mode("append").parquet(place)
+    stream = sessionized(spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 1).parquet(place))
     stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
     folded = spark.read.schema(stream.schema).parquet(out).select("session_id", "seq")
     batch = events.pending_messages(log).select("session_id", "seq")

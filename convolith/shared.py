@@ -1,12 +1,13 @@
 """Shared scratch storage: the one place where intermediate results are cut off from their lineage.
 
 Everything that has to survive the loss of an executor is written as Parquet below the folder that the
-cluster names in ``spark.checkpoint.dir``.  Only where that setting is absent (unit tests, a laptop) a
-folder of our own is made and set.
+cluster names in ``spark.checkpoint.dir``.  Only in local mode, where that setting may be absent, a folder
+of our own is made and set; a cluster without it is refused.
 """
 
 from __future__ import annotations
 
+import atexit
 import shutil
 import tempfile
 import uuid
@@ -20,6 +21,8 @@ def shared_dir(spark: SparkSession) -> str:
     sc = spark.sparkContext
     found = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not found:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="convolith-")
         sc.setCheckpointDir(found)
         found = sc.getCheckpointDir()
@@ -69,6 +72,8 @@ def ship_package(spark: SparkSession) -> None:
     with tempfile.TemporaryDirectory() as folder:
         work = Path(folder, "tree")
         shutil.copytree(here, work / here.name, ignore=shutil.ignore_patterns("__pycache__"))
-        name = shutil.make_archive(str(Path(tempfile.mkdtemp(prefix="convolith-ship-"), "convolith")), "zip", work)
+        made = tempfile.mkdtemp(prefix="convolith-ship-")
+        atexit.register(shutil.rmtree, made, ignore_errors=True)
+        name = shutil.make_archive(str(Path(made, "convolith")), "zip", work)
     sc.addPyFile(name)
     sc._convolith_shipped = True

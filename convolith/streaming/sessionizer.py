@@ -20,7 +20,7 @@ from convolith.archive import Archive
 from convolith.schema import EVENT, EVENT_TYPES
 
 FOLDED = "session_id string, turn_no long, seq long, role string, content string, metadata_json string"
-_STATE = "started boolean, metadata_json string, held string"
+_STATE = "started boolean, done boolean, emitted long, metadata_json string, held array<string>"
 
 
 def read_stream(spark: SparkSession, path: str, schema=EVENT, format: str = "json", **options: str) -> DataFrame:
@@ -32,30 +32,30 @@ def sessionized(events: DataFrame, timeout: str | None = None) -> DataFrame:
     """The messages of each session, numbered, once it is finalized.
 
     ``events`` has seq, type, session_id, message and metadata_json.  Kept per session: whether it has
-    started, and the messages since.  Within a micro-batch events are taken by seq.  After a finalize the
-    state is emptied; what comes later waits for another start.
+    started and been finalized, how many messages were given out, and the messages that wait, one a list entry.
+    Within a micro-batch events are taken by seq.  As in the fold of a whole log, messages count from the
+    first start on; those after the finalize too, which are given out as they come, whatever the batches.
     """
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
-        started, metadata, held = state.get if state.exists else (False, None, "[]")
-        messages = json.loads(held)
+        started, done, emitted, metadata, held = state.get if state.exists else (False, False, 0, None, [])
+        held = list(held)
         rows = pd.concat(list(batches)).sort_values("seq")
-        done = False
-        for r in rows.itertuples(index=False):
-            if r.type == "session_start" and not started:
-                started, metadata = True, r.metadata_json
-            elif r.type == "message" and started:
-                messages.append([int(r.seq), r.role, r.content])
-            elif r.type == "finalize" and started:
+        for seq, kind, role, content, data in zip(rows["seq"], rows["type"], rows["role"], rows["content"], rows["metadata_json"], strict=True):
+            if kind == "session_start" and not started:
+                started, metadata = True, data
+            elif kind == "message" and started:
+                held.append(json.dumps([int(seq), role, content]))
+            elif kind == "finalize" and started:
                 done = True
-        if done:
-            yield pd.DataFrame([(key[0], k + 1, *m, metadata) for k, m in enumerate(messages)], columns=["session_id", "turn_no", "seq", "role", "content", "metadata_json"])
-            state.remove()
-        elif started:
-            state.update((started, metadata, json.dumps(messages)))
+        if done and held:
+            yield pd.DataFrame([(key[0], emitted + k + 1, *json.loads(m), metadata) for k, m in enumerate(held)], columns=["session_id", "turn_no", "seq", "role", "content", "metadata_json"])
+            emitted, held = emitted + len(held), []
+        if started:
+            state.update((started, done, emitted, metadata, held))
             if timeout:
                 state.setTimeoutDuration(timeout)
 

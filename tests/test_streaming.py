@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import pytest
 from convolith.archive import Archive
 from convolith.operators import events as E
 from convolith.schema import EVENT
@@ -15,12 +16,14 @@ def log(spark, *rows):
 ROWS = [("message", "a", "orphan"), ("session_start", "a", None), ("message", "a", "1"), ("session_start", "b", None), ("message", "b", "x"), ("finalize", "c", None), ("session_start", "a", None), ("message", "a", "2"), ("finalize", "a", None), ("message", "a", "3"), ("session_start", "d", None), ("finalize", "d", None)]
 
 
-def test_stream_equals_batch(spark, tmp_path):
+@pytest.mark.parametrize("cuts", [[12], [3, 9, 12], list(range(1, 13))])
+def test_stream_equals_batch(spark, tmp_path, cuts):
     df = log(spark, *ROWS)
-    df.coalesce(1).write.parquet(str(tmp_path / "in"))
-    out = S.sessionized(spark.readStream.schema(EVENT).parquet(str(tmp_path / "in")))
+    for a, b in zip([0, *cuts], cuts):
+        df.where(f"seq >= {a} and seq < {b}").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    out = S.sessionized(spark.readStream.schema(EVENT).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in")))
     out.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination()
-    got = {(r["session_id"], r["turn_no"], r["content"]) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    got = {(r["session_id"], r["turn_no"], r["content"]) for r in spark.read.schema(S.FOLDED).parquet(str(tmp_path / "out")).collect()}
     assert got == {("a", 1, "1"), ("a", 2, "2"), ("a", 3, "3")}
     batch = {(r["session_id"], r["seq"]) for r in E.pending_messages(df).collect()}
     assert batch == {("a", 2), ("a", 7), ("a", 9)}
