@@ -17,13 +17,13 @@ import bisect
 import re
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
 from math import erf, sqrt
 
 import numpy as np
 import pandas as pd
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from convolith.shared import materialise
@@ -174,7 +174,7 @@ class Packer:
         return out
 
 
-def pack(documents: DataFrame, kinds: DataFrame, doc_id: str = "doc_id", text: str = "text", name: str = "container_name", capacity: str = "capacity_tokens", tokenizer: str = TOKENIZER, window: int = WINDOW, partitions: int | None = None) -> DataFrame:
+def pack(documents: DataFrame, kinds: DataFrame, doc_id: str = "doc_id", text: str = "text", name: str = "container_name", capacity: str = "capacity_tokens", tokenizer: str = TOKENIZER, window: int = WINDOW, partitions: int | None = None, kinds_at_once: int = 10_000) -> DataFrame:
     """container_name, container_no, doc_id, part_no, first_token, n_tokens: which tokens of which text go where.
 
     ``container_no`` is unique within a kind.  A text of at most the capacity is in one container; a
@@ -183,19 +183,15 @@ def pack(documents: DataFrame, kinds: DataFrame, doc_id: str = "doc_id", text: s
     Defined cases: null and empty texts have no tokens and are in no container; kinds with a null name,
     or a null or non-positive capacity, are left out, and of several kinds of one name the largest capacity
     holds; repeated rows are items of their own; an empty table gives an empty result; texts of any
-    length are measured whole; extra columns are ignored.  The kinds (a few rows) are the only data
-    taken to the driver.
+    length are measured whole; extra columns are ignored.  The kinds are the only data taken to the
+    driver; beyond ``kinds_at_once`` there is a pass over the measured texts for each so many.
     """
     spark = documents.sparkSession
-    limit = 10_000
-    wanted = kinds.where(F.col(name).isNotNull() & (F.col(capacity) > 0)).groupBy(F.col(name).cast("string").alias("name")).agg(F.max(F.col(capacity).cast("long")).alias("c")).orderBy("name").limit(limit + 1).collect()
-    if len(wanted) > limit:
-        raise ValueError(f"more than {limit} kinds of container")
-    sizes = [(r["name"], int(r["c"])) for r in wanted]
+    wanted = kinds.where(F.col(name).isNotNull() & (F.col(capacity) > 0)).groupBy(F.col(name).cast("string").alias("name")).agg(F.max(F.col(capacity).cast("long")).alias("c")).orderBy("name")
     items = materialise(measured(documents, doc_id, text, tokenizer), "measured")
     n = partitions or max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), 1 + items.count() // 20_000))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(sizes: list[tuple[str, int]], batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         task = TaskContext.get().partitionId() << 40
         packers = [(kind, Packer(c)) for kind, c in sizes]
         held: list[pd.DataFrame] = []
@@ -220,7 +216,37 @@ def pack(documents: DataFrame, kinds: DataFrame, doc_id: str = "doc_id", text: s
             yield from flush()
 
     ordered = items.repartitionByRange(n, "curve", "doc_id").sortWithinPartitions("curve", "doc_id")
-    return ordered.mapInPandas(run, f"container_name string, container_no long, doc_id {documents.schema[doc_id].dataType.simpleString()}, part_no long, first_token long, n_tokens long")
+    schema = f"container_name string, container_no long, doc_id {documents.schema[doc_id].dataType.simpleString()}, part_no long, first_token long, n_tokens long"
+    def bound(sizes: list[tuple[str, int]]):
+        return lambda batches: run(sizes, batches)
+
+    # more kinds than one task's packers should hold are packed in several passes over the measured texts
+    passes, held = [], []
+    for r in wanted.toLocalIterator():
+        held.append((r["name"], int(r["c"])))
+        if len(held) == kinds_at_once:
+            passes.append(held)
+            held = []
+    passes += [held] if held or not passes else []
+    return reduce(DataFrame.unionByName, [ordered.mapInPandas(bound(sizes), schema) for sizes in passes])
+
+
+def broken_rules(documents: DataFrame, packed: DataFrame, kinds: DataFrame, doc_id: str = "doc_id", text: str = "text", name: str = "container_name", capacity: str = "capacity_tokens", tokenizer: str = TOKENIZER) -> DataFrame:
+    """For each kind, how often a rule of packing is broken: over_full containers, texts split though they fit,
+    texts whose parts don't cover each token once; and the number of texts packed."""
+    size = kinds.groupBy(F.col(name).alias("container_name")).agg(F.max(F.col(capacity).cast("long")).alias("capacity"))
+    full = packed.groupBy("container_name", "container_no").agg(F.sum("n_tokens").alias("held")).join(size, "container_name").groupBy("container_name").agg(F.count(F.when(F.col("held") > F.col("capacity"), 1)).alias("over_full"))
+    spans = Window.partitionBy("container_name", "doc_id").orderBy("first_token")
+    gap = F.col("first_token") != F.coalesce(F.lag(F.col("first_token") + F.col("n_tokens")).over(spans), F.lit(0))
+    parts = packed.withColumn("gap", gap.cast("int")).groupBy("container_name", "doc_id").agg(F.count("*").alias("parts"), F.sum("n_tokens").alias("tokens"), F.sum("gap").alias("gaps"))
+    counted = measured(documents, doc_id, text, tokenizer).select("doc_id", F.col("n_tokens").alias("all_tokens"))
+    each = parts.join(counted, "doc_id", "full").join(size, "container_name", "left")
+    rules = each.groupBy("container_name").agg(
+        F.count(F.when((F.col("parts") > 1) & (F.col("all_tokens") <= F.col("capacity")), 1)).alias("split"),
+        F.count(F.when((F.col("gaps") > 0) | ~F.col("tokens").eqNullSafe(F.col("all_tokens")), 1)).alias("uncovered"),
+        F.count("*").alias("texts"),
+    )
+    return full.join(rules, "container_name", "full")
 
 
 def fill_report(packed: DataFrame, kinds: DataFrame, name: str = "container_name", capacity: str = "capacity_tokens") -> DataFrame:

@@ -55,6 +55,12 @@ def p7_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.fill_report(packing.pack(table(spark, sf_dir, "documents"), kinds), kinds)
 
 
+def p7_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rules of packing, counted where they are broken: never."""
+    documents, kinds = table(spark, sf_dir, "documents"), table(spark, sf_dir, "container_kinds")
+    return packing.broken_rules(documents, packing.materialise(packing.pack(documents, kinds), "packed"), kinds)
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = leakage.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
     return found.select("item_id", "doc_id").distinct()
@@ -70,7 +76,7 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spam.spam_pages(table(spark, sf_dir, "documents")).select("doc_id")
 
 
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_graph": p2_graph, "p2_replies": p2_replies, "p3_found": p3_found, "p3_redacted": p3_redacted, "p7_packed": p7_packed, "p7_fill": p7_fill, "p8_found": p8_found, "p8_clean": p8_clean, "p9_found": p9_found}
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_graph": p2_graph, "p2_replies": p2_replies, "p3_found": p3_found, "p3_redacted": p3_redacted, "p7_packed": p7_packed, "p7_fill": p7_fill, "p7_rules": p7_rules, "p8_found": p8_found, "p8_clean": p8_clean, "p9_found": p9_found}
 #: White space of any kind and zero-width characters, as DuckDB's regular expressions spell them.
 _NOTHING = r"[\s\p{Z}\p{Cc}\p{Cf}\x{034F}\x{115F}\x{1160}\x{17B4}\x{17B5}\x{180B}-\x{180F}\x{2800}\x{3164}\x{FE00}-\x{FE0F}\x{FFA0}]+"
 
@@ -110,6 +116,7 @@ bad AS (SELECT session_id FROM marks WHERE role = 'user' AND (next_role IS NULL
 
 
 ORACLE = {
+    "p7_rules": "SELECT container_name, CAST(0 AS BIGINT) AS over_full, CAST(0 AS BIGINT) AS split, CAST(0 AS BIGINT) AS uncovered, (SELECT count(*) FROM documents WHERE text <> '') AS texts FROM container_kinds",
     "p2_found": f"""WITH {_WHOLE}, {_answered('msgs', 'turn_no')}
 SELECT session_id, CAST(turn_no AS BIGINT) AS turn_no, event_no FROM msgs WHERE session_id NOT IN (SELECT session_id FROM bad)""",
     "p2_graph": f"""WITH RECURSIVE {_WHOLE}, {_GRAPH}

@@ -205,5 +205,11 @@ def test_pack(spark):
         assert load.max() <= capacity and load.sum() / (len(load) * capacity) > 0.9
         assert not set(g["doc_id"]) & {900, 901} and 902 in set(g["doc_id"])
     assert K.pack(docs.limit(0), kinds).count() == 0
+    # kinds beyond what one pass takes, and the rules counted where they are broken
+    columns = ["container_name", "container_no", "doc_id", "part_no", "first_token", "n_tokens"]
+    assert {tuple(r) for r in K.pack(docs, kinds, kinds_at_once=1).select(*columns).collect()} == set(out[columns].itertuples(index=False, name=None))
+    once = docs.where("text <> 'again'")
+    rules = {r["container_name"]: (r["over_full"], r["split"], r["uncovered"], r["texts"]) for r in K.broken_rules(once, K.pack(once, kinds), kinds).collect()}
+    assert rules == {"small": (0, 0, 0, 202), "large": (0, 0, 0, 202)}
     report = {r["container_name"]: r for r in K.fill_report(K.pack(docs, kinds), kinds).collect()}
     assert report["small"]["filled"] > 0.9 and report["small"]["containers"] >= report["small"]["least"]
