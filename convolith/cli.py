@@ -43,10 +43,10 @@ def _parser() -> argparse.ArgumentParser:
 
 def _agreed(question: str) -> bool:
     print(question)
-    print("Continue? (y/N): ", end="", flush=True)
+    print("Go on [y/n]? ", end="", flush=True)
     if sys.stdin.readline().strip().lower() == "y":
         return True
-    print("Cancelled.")
+    print("Nothing was changed.")
     return False
 
 
@@ -83,41 +83,41 @@ def _search(archive: Archive, args: argparse.Namespace) -> None:
         any_ = True
         print(f"[{row['id']}] {row['title'] if row['title'] is not None else 'Untitled'}")
     if not any_:
-        print("No matches found.")
+        print("Nothing matches.")
 
 
 def _stats(archive: Archive) -> None:
     s = archive.stats()
-    print("Archive statistics")
-    print(f"Active file:      {s['file_name']}")
-    print(f"Total sessions:   {s['session_count']}")
-    print(f"Total messages:   {s['message_count']}")
-    print(f"Disk usage:       {s['total_size_bytes'] / 1024 / 1024:.2f} MB")
+    print("The archive")
+    print(f"Written to now:  {s['file_name']}")
+    print(f"Sessions:        {s['session_count']}")
+    print(f"Messages:        {s['message_count']}")
+    print(f"On disk:         {s['total_size_bytes'] / 1024 / 1024:.2f} MB")
     if s["min_time"] > 0:
-        print(f"Time range:       {commands.when(s['min_time'])} to {commands.when(s['max_time'])}")
+        print(f"From, to:        {commands.when(s['min_time'])}, {commands.when(s['max_time'])}")
 
 
 def _show(archive: Archive, id: str) -> None:
     row = archive.get(id).first()
     if row is None:
-        print(f"Session not found: {id}")
+        print(f"There is no session {id}")
         return
-    print(f"Session: {row['id']}")
+    print(f"Id: {row['id']}")
     print(f"Title: {row['title'] if row['title'] is not None else 'Untitled'}")
     for k in ("source", "model"):
         if row[k] is not None:
             print(f"{k.capitalize()}: {row[k]}")
     if row["created_at"] is not None:
         print(f"Created: {row['created_at']} ({commands.when(int(row['created_at']))})")
-    print(f"\nMessages ({len(row['messages'])}):\n")
+    print(f"\n{len(row['messages'])} messages\n")
     for k, m in enumerate(row["messages"]):
-        print(f"--- Message {k + 1} ({m['role']}) ---\n{m['content']}\n")
+        print(f"[{k + 1}] {m['role']}\n{m['content']}\n")
 
 
 def _list(archive: Archive, n: int, which: str) -> None:
     total = archive.scan().count()
     chosen = archive.first(max(0, n)) if which == "first" else archive.last(max(0, n))
-    print(f"Showing {which} {min(total, max(0, n))} of {total} sessions:\n")
+    print(f"{which.capitalize()} {min(total, max(0, n))}, {total} in all\n")
     print("\n".join(commands.listing(archive, chosen)))
 
 

@@ -205,18 +205,18 @@ def test_command_line(spark, tmp_path, monkeypatch, capsys):
     lines = [{"type": "session_start", "session_id": "st", "title": "Live"}, {"type": "message", "session_id": "st", "message": {"role": "assistant", "content": "streamed"}}, {"type": "finalize", "session_id": "st"}]
     assert "Archived 2 sessions" in call("add", "--stream", stdin="\n\n".join(map(json.dumps, lines)))[1]
     assert call("search", "hello")[1].splitlines() == ["[t] Untitled"]
-    assert call("search", "nope")[1] == "No matches found.\n"
+    assert call("search", "nope")[1] == "Nothing matches.\n"
     found = json.loads(call("search", "streamed", "--json")[1])
     assert found["title"] == "Live" and found["messages"][0]["role"] == "model"
     assert "[one]" in call("search", "session one", "--after", "2023-11-01")[1]
-    assert call("search", "session one", "--before", "2023-01-01")[1] == "No matches found.\n"
+    assert call("search", "session one", "--before", "2023-01-01")[1] == "Nothing matches.\n"
     assert call("search", "x", "--after", "someday")[0] == 1
     shown = call("show", "t")[1]
-    assert "--- Message 2 (model) ---\nHello" in shown and "Hi there" in shown
-    assert "not found" in call("show", "zzz")[1]
-    assert "Total sessions:   3" in call("stats")[1]
-    assert "Showing first 1 of 3" in call("first", "1")[1]
-    assert "Cancelled." in call("optimise", stdin="n\n")[1]
+    assert "[2] model\nHello" in shown and "Hi there" in shown
+    assert "no session zzz" in call("show", "zzz")[1]
+    assert "Sessions:        3" in call("stats")[1]
+    assert "First 1, 3 in all" in call("first", "1")[1]
+    assert "Nothing was changed." in call("optimise", stdin="n\n")[1]
     assert call("optimise", "--chunk-kb", "0", "--yes")[0] == 1
     assert "Reindexed 3 sessions" in call("reindex", "--yes")[1]
 
@@ -240,7 +240,7 @@ def test_rpc(spark, tmp_path):
     assert tool("add_log", data=[doc("b"), doc("c", 1)]) == "Imported 2 sessions."
     assert tool("add_log", data="not json") == rpc.FAILED
     assert [s["id"] for s in json.loads(tool("search", query="session"))] == ["a", "b", "c"]
-    assert json.loads(tool("read_session", id="b"))["messages"][1]["content"] == "Message 1 for session b"
+    assert json.loads(tool("read_session", id="b"))["messages"][1]["content"] == "Line 1 in session b"
     assert tool("read_session", id="zz") == rpc.FAILED
     assert [s["id"] for s in json.loads(tool("get_recent_sessions", count=2))] == ["a", "c"]
     assert json.loads(tool("stats"))["session_count"] == 3
