@@ -25,7 +25,7 @@ from convolith.operators.hierarchy import hierarchies
 from convolith.shared import materialise
 
 SKETCH = 64  # hashes kept of a key's tokens
-SHAPES = 32  # shapes kept of a key's values
+SHAPES = 64  # hashes kept of the shapes of a key's values, whole values being hashed; with more, likeness is an estimate over all
 ACCEPT = 0.5  # least weight of a rename
 KINDS = ("string", "integer", "decimal", "boolean", "array", "object")
 NUMBER = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
@@ -49,11 +49,11 @@ def exploded(df: DataFrame, feed: str, file_no: str, row_no: str, record: str, j
 
 
 def _shape(kind: Column, value: Column) -> Column:
-    """Letters to a, digits to 9, runs collapsed; of numbers, the decimals or the magnitude."""
+    """Of the whole value: letters to a, digits to 9, runs collapsed; of numbers, the decimals or the magnitude."""
     text = F.regexp_replace(F.regexp_replace(value, r"\p{L}+", "a"), r"\d+", "9")
     text = F.regexp_replace(text, r'"?a"?([,; ]+"?a"?)+', "a+")
     number = F.when(kind == "decimal", F.length(F.regexp_replace(value, r"^[^.]*\.?", "")).cast("string")).otherwise(F.length(value).cast("string"))
-    return F.when(kind.isin("integer", "decimal"), number).otherwise(F.left(text, F.lit(60)))
+    return F.when(kind.isin("integer", "decimal"), number).otherwise(text)
 
 
 def _kind_counts(n: Column) -> list[Column]:
@@ -71,13 +71,13 @@ def _main_kind() -> Column:
 def profiles(keys: DataFrame) -> DataFrame:
     """One row for each (feed, file_no, key): n, kind, shapes, tokens, low, high; sizes are bounded."""
     at = ["feed", "file_no", "key"]
-    shape = keys.groupBy(*at, _shape(F.col("kind"), F.col("value")).alias("shape"), "kind").agg(F.count("*").alias("n"), F.expr("min(try_cast(value as double))").alias("low"), F.expr("max(try_cast(value as double))").alias("high"))
-    ranked = shape.withColumn("r", F.row_number().over(Window.partitionBy(*at).orderBy(F.desc("n"), "shape", "kind")))
+    shape = keys.groupBy(*at, F.xxhash64("kind", _shape(F.col("kind"), F.col("value"))).alias("shape"), "kind").agg(F.count("*").alias("n"), F.expr("min(try_cast(value as double))").alias("low"), F.expr("max(try_cast(value as double))").alias("high"))
+    ranked = shape.withColumn("r", F.row_number().over(Window.partitionBy(*at).orderBy(F.col("kind").isNull(), "shape", "kind")))
     # integers among decimals are decimals; other mixtures are settled by number, then by name
     base = ranked.groupBy(*at).agg(
         F.sum("n").alias("n"),
         *_kind_counts(F.col("n")),
-        F.map_from_entries(F.collect_list(F.when((F.col("r") <= SHAPES) & F.col("kind").isNotNull(), F.struct(F.concat_ws("|", "kind", "shape"), "n")))).alias("shapes"),
+        F.map_from_entries(F.collect_list(F.when((F.col("r") <= SHAPES) & F.col("kind").isNotNull(), F.struct("shape", "n")))).alias("shapes"),
         F.min("low").alias("low"),
         F.max("high").alias("high"),
     )
@@ -97,6 +97,9 @@ def _name_parts(name: str) -> set[str]:
 def likeness(kind: str, a: dict, b: dict) -> float:
     """How alike two profiled keys of one kind are, 0 to 1: shapes, tokens or ranges, names."""
     pa, pb = a["shapes"] or {}, b["shapes"] or {}
+    full = [max(p) for p in (pa, pb) if len(p) >= SHAPES]
+    if full:  # of sketches that are full, the part both cover, as in a bottom-k estimate
+        pa, pb = ({k: n for k, n in p.items() if k <= min(full)} for p in (pa, pb))
     na, nb = sum(pa.values()) or 1, sum(pb.values()) or 1
     shape = sum(min(pa.get(k, 0) / na, pb.get(k, 0) / nb) for k in pa.keys() | pb.keys())
     if kind in ("integer", "decimal"):

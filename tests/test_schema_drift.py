@@ -109,3 +109,21 @@ def test_one_type_for_each_field(spark):
     assert row("three") == [None, "a;b", "[5]", "true", None, "10.0"]
     assert row("four") == ["12345678901234567890", None, '["w"]', None, '{"p":2}', "0.0"]
     assert {(r["record"], r["field"], r["raw"]) for r in got if r["failed"]} == {("three", "n", "many"), ("two", "o", "plain"), ("four", "s", '{"p":1}'), ("four", "b", "2")}
+
+
+def test_likeness_of_keys_with_more_shapes_than_a_sketch_holds():
+    import random
+
+    from convolith.operators import schema_drift as S
+
+    rng = random.Random(2)
+    shapes = {rng.getrandbits(60): rng.randrange(1, 5) for _ in range(4000)}
+
+    def sketch(part):
+        return {"key": "k", "shapes": dict(sorted(part.items())[: S.SHAPES]), "tokens": [], "low": None, "high": None}
+
+    # two samples of one distribution are alike, though few of their most frequent shapes would agree
+    one = {k: n for k, n in shapes.items() if rng.random() < 0.9}
+    two = {k: n for k, n in shapes.items() if rng.random() < 0.9}
+    other = {rng.getrandbits(60): 1 for _ in range(4000)}
+    assert S.likeness("string", sketch(one), sketch(two)) - S.likeness("string", sketch(one), sketch(other)) > 0.3
