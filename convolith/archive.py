@@ -192,7 +192,7 @@ class Archive:
         placed = materialise(placed.join(at, "block_no"), "placed")
         out = placed.select(*PLACE, "id", "title", "source", "model", F.col("created_at").cast("decimal(20,0)").alias("created_at"), "metadata_json", "message_count")
         self._store(out, f"{gen}/sessions")
-        self._store(said.join(placed.select("ord", *PLACE), "ord").select(*ARCHIVE_MESSAGES.fieldNames()), f"{gen}/messages", spread="seq")
+        self._store(said.withColumn("seq", F.col("seq").cast("long")).join(placed.select("ord", *PLACE), "ord").select(*ARCHIVE_MESSAGES.fieldNames()), f"{gen}/messages", spread="seq")
         for r in begins.collect():  # a row for each segment
             n = str(r["segment"])
             s = m["segments"].setdefault(n, {"data": [], "index": [], "bytes": 0, "raw": 0, "blocks": 0, "next_block": 0})
@@ -288,7 +288,7 @@ class Archive:
             return self._flush()
 
     def _flush(self) -> int:
-        """Archive finished sessions that aren't archived yet as one block; the rest stays in the log."""
+        """Archive finished sessions that aren't archived yet as one block, many as several; the rest stays in the log."""
         m = self.manifest()
         log = self.events(m)
         finished = events.folded(log).where("end_seq is not null").select("session_id").persist()
@@ -300,14 +300,14 @@ class Archive:
         # several finalizes may share a place only if sequence numbers do; the id settles it
         order = blocks.ranked(fresh, ["end_seq", "id"]).withColumnRenamed("rn", "ord")
         rows = materialise(order.select("ord", "id", "title", "source", "model", "created_at", "metadata_json"), "finished")
-        said = events.pending_messages(log).join(rows.select("ord", F.col("id").alias("session_id")), "session_id").select("ord", F.col("seq").cast("int").alias("seq"), "message.*")
+        said = events.pending_messages(log).join(rows.select("ord", F.col("id").alias("session_id")), "session_id").select("ord", "seq", "message.*")
         known = finished.join(archived.select(F.col("id").alias("session_id")).distinct(), "session_id", "left_semi")
         rejects = log.join(known, "session_id", "left_semi")
         if not rejects.isEmpty():
             name = f"rejects/{uuid.uuid4().hex}"
             rejects.write.parquet(f"{self.root}/{name}")
             m["rejects"].append(name)
-        count = self._write_blocks(m, rows, said, None)
+        count = self._write_blocks(m, rows, said, blocks.FLUSH)
         rest = events.compacted(log, finished)
         name = f"wal/{uuid.uuid4().hex}"
         rest.write.option("compression", "zstd").parquet(f"{self.root}/{name}")

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from convolith.shared import materialise
 
 BULK = 100
+FLUSH = 10_000  # most sessions of a block that a flush writes: the index holds the ids of a block in one row
 SEGMENT_BYTES = 1 << 30
 
 

@@ -67,7 +67,7 @@ def stored_messages(spark, d):
     a = _built(spark, d)
     owner = a.sessions().select("segment", "block_seq", "pos", F.col("id").alias("session"))
     n_calls = F.when(F.col("tool_calls").isNotNull(), F.size("tool_calls")).cast("long")
-    return a.messages().join(owner, ["segment", "block_seq", "pos"]).select("session", "seq", "role", "content", "id", "parent_id", "metadata_json", n_calls.alias("n_calls"), F.try_element_at("tool_outputs", F.lit(1))["content"].alias("output"))
+    return a.messages().join(owner, ["segment", "block_seq", "pos"]).select("session", F.col("seq").cast("int").alias("seq"), "role", "content", "id", "parent_id", "metadata_json", n_calls.alias("n_calls"), F.try_element_at("tool_outputs", F.lit(1))["content"].alias("output"))
 
 
 @query(f"WITH {_ORD} SELECT CAST(rn // 100 AS BIGINT) AS block_seq, CAST(rn % 100 AS INT) AS pos, id, title FROM ord WHERE rn // 100 = 3")
@@ -155,7 +155,7 @@ def stored_optimise(spark, d):
     a.optimise(16_384)
     owner = a.sessions().select("segment", "block_seq", "pos", F.col("id").alias("session"))
     dense = a.sessions().groupBy("segment", "block_seq").agg((F.max("pos") + 1 == F.count("*")).alias("dense")).where("dense")
-    return a.messages().join(owner, ["segment", "block_seq", "pos"]).join(dense.drop("dense"), ["segment", "block_seq"]).select("session", "seq", F.md5("content").alias("digest"))
+    return a.messages().join(owner, ["segment", "block_seq", "pos"]).join(dense.drop("dense"), ["segment", "block_seq"]).select("session", F.col("seq").cast("int").alias("seq"), F.md5("content").alias("digest"))
 
 
 _FLUSHED = f"""WITH {_FOLD_SQL}, {_ORD}, {_ONCE}, {_SAID},

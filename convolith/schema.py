@@ -32,7 +32,8 @@ PLACE = [T.StructField("segment", T.IntegerType()), T.StructField("block_seq", T
 #: The archive keeps sessions and messages in two tables that share their place, so that no session,
 #: however long, has to be one row, and titles can be listed without reading texts.
 ARCHIVE_SESSIONS = T.StructType([*PLACE, *SESSION_FIELDS, T.StructField("message_count", T.LongType())])
-ARCHIVE_MESSAGES = T.StructType([*PLACE, T.StructField("seq", T.IntegerType()), *MESSAGE.fields])
+#: ``seq`` of a flushed message is its number in the event log.
+ARCHIVE_MESSAGES = T.StructType([*PLACE, T.StructField("seq", T.LongType()), *MESSAGE.fields])
 BLOCK_INDEX = T.StructType(
     [
         *PLACE[:2],

@@ -156,6 +156,16 @@ def test_flush_writes_a_long_session_in_parts(spark, tmp_path):
     assert [m["content"] for m in archive.get("hot").first()["messages"]] == [f"part {k}" for k in range(12_000)]
 
 
+def test_flush_takes_any_event_number_and_many_sessions(archive, spark, monkeypatch):
+    monkeypatch.setattr(blocks, "FLUSH", 3, raising=False)
+    frame = I.event_frame(spark, [I.event(e) for k in range(8) for e in ({"type": "session_start", "session_id": f"s{k}"}, *({"type": "message", "session_id": f"s{k}", "message": {"role": "user", "content": f"{k} {n}"}} for n in range(2)), {"type": "finalize", "session_id": f"s{k}"})])
+    archive.append_events(frame.withColumn("seq", F.col("seq") + 3_000_000_000))
+    assert archive.flush() == 8 and archive.flush() == 0
+    assert archive.block_count() == 3 and ids(archive.first(8)) == [f"s{k}" for k in range(8)]
+    assert all([m["content"] for m in archive.get(f"s{k}").first()["messages"]] == [f"{k} 0", f"{k} 1"] for k in (0, 7))
+    assert archive.messages().agg(F.min("seq"), F.max("seq")).first()[:] == (3_000_000_001, 3_000_000_030)
+
+
 def test_bad_manifest_and_lock(archive):
     put(archive, doc("x"))
     with archive.lock(), pytest.raises(LockTimeout):
