@@ -166,6 +166,14 @@ def test_flush_takes_any_event_number_and_many_sessions(archive, spark, monkeypa
     assert archive.messages().agg(F.min("seq"), F.max("seq")).first()[:] == (3_000_000_001, 3_000_000_030)
 
 
+def test_flush_leaves_the_rest_under_its_numbers(archive, spark):
+    rows = [("session_start", "done"), ("session_start", "open"), ("message", "open"), ("message", "done"), ("finalize", "done"), ("message", "lost")]
+    docs = [{"type": t, "session_id": s, **({"message": {"role": "user", "content": "text"}} if t == "message" else {})} for t, s in rows]
+    archive.append_events(I.event_frame(spark, [I.event(d) for d in docs]).withColumn("seq", F.col("seq") + 3_000_000_000))
+    assert archive.flush() == 1
+    assert sorted(r["seq"] - 3_000_000_000 for r in archive.events().collect()) == [1, 2, 5]
+
+
 def test_bad_manifest_and_lock(archive):
     put(archive, doc("x"))
     with archive.lock(), pytest.raises(LockTimeout):
