@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from convolith.functions.metadata import sink
 from convolith.operators import blocks, browse, events, search, stats
 from convolith.schema import ARCHIVE_MESSAGES, ARCHIVE_SESSIONS, BLOCK_INDEX, EVENT, MESSAGE, TOKEN_INDEX
-from convolith.shared import materialise, ship_package
+from convolith.shared import materialise, passing, ship_package
 
 FORMAT = 1
 WAL_LIMIT = 256 * 1024
@@ -166,12 +166,16 @@ class Archive:
 
     # -- writing -------------------------------------------------------------------------------
 
-    def _write_blocks(self, m: dict, sessions: DataFrame, messages: DataFrame, per_block: int | None) -> int:
+    def _write_blocks(self, m: dict, sessions: DataFrame, messages: DataFrame, per_block: int | None, in_files: bool = False) -> int:
         """Write sessions (ord and their fields) and messages (ord, seq and theirs) as blocks; they are in ``m`` afterwards.
 
-        Neither is ever gathered: sessions get their place, messages take it over by ``ord``.
+        Neither is ever gathered: sessions get their place, messages take it over by ``ord``.  Messages are
+        read twice; those that are ``in_files`` already are not written for it.
         """
-        said = materialise(messages, "messages")
+        with passing(self.spark):
+            return self._place_blocks(m, sessions, messages if in_files else materialise(messages, "messages"), per_block)
+
+    def _place_blocks(self, m: dict, sessions: DataFrame, said: DataFrame, per_block: int | None) -> int:
         held = said.groupBy("ord").agg(F.count("*").alias("message_count"), F.sum(F.octet_length(F.to_json(F.struct(*MESSAGE.fieldNames())))).alias("bytes"))
         rows = materialise(sessions.join(held, "ord", "left").na.fill(0, ["message_count", "bytes"]), "sessions")
         count = rows.count()
@@ -223,7 +227,7 @@ class Archive:
         raw = max(1, said.agg(F.sum(F.octet_length("content"))).first()[0] or 1)
         index = search.block_index(keyed, said, "_place", "_place").withColumn("compressed_bytes", F.least(F.col("uncompressed_bytes"), F.ceil(F.col("uncompressed_bytes") * (size / raw))))
         self._store(index.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in BLOCK_INDEX.fields]), f"{gen}/blocks")
-        self._store(search.token_index(keyed, said, "_place", "_place").select(*TOKEN_INDEX.fieldNames()), f"{gen}/tokens", ("token",))
+        self._store(search.stored_token_index(sessions, messages).select(*TOKEN_INDEX.fieldNames()), f"{gen}/tokens", ("token",))
         return gen
 
     @staticmethod
@@ -291,28 +295,31 @@ class Archive:
         """Archive finished sessions that aren't archived yet as one block, many as several; the rest stays in the log."""
         m = self.manifest()
         log = self.events(m)
-        finished = events.folded(log).where("end_seq is not null").select("session_id").persist()
-        if finished.isEmpty():
-            return 0
-        self._need_index(m)
-        archived = self.sessions(m).select("id")
-        fresh = events.to_archive(log, archived)
-        # several finalizes may share a place only if sequence numbers do; the id settles it
-        order = blocks.ranked(fresh, ["end_seq", "id"]).withColumnRenamed("rn", "ord")
-        rows = materialise(order.select("ord", "id", "title", "source", "model", "created_at", "metadata_json"), "finished")
-        said = events.pending_messages(log).join(rows.select("ord", F.col("id").alias("session_id")), "session_id").select("ord", "seq", "message.*")
-        known = finished.join(archived.select(F.col("id").alias("session_id")).distinct(), "session_id", "left_semi")
-        rejects = log.join(known, "session_id", "left_semi")
-        if not rejects.isEmpty():
-            name = f"rejects/{uuid.uuid4().hex}"
-            rejects.write.parquet(f"{self.root}/{name}")
-            m["rejects"].append(name)
-        count = self._write_blocks(m, rows, said, blocks.FLUSH)
-        rest = events.compacted(log, finished)
-        name = f"wal/{uuid.uuid4().hex}"
-        rest.write.option("compression", "zstd").parquet(f"{self.root}/{name}")
+        with passing(self.spark):
+            archived = self.sessions(m).select(F.col("id").alias("session_id"), F.lit(True).alias("known")).distinct()
+            finished = materialise(events.folded(log).where("end_seq is not null").join(archived, "session_id", "left"), "folded")
+            if finished.isEmpty():
+                return 0
+            self._need_index(m)
+            fresh = events.as_sessions(finished.where("known is null"))
+            # several finalizes may share a place only if sequence numbers do; the id settles it
+            order = blocks.ranked(fresh, ["end_seq", "id"]).withColumnRenamed("rn", "ord")
+            rows = materialise(order.select("ord", "id", "title", "source", "model", "created_at", "metadata_json", "start_seq"), "finished")
+            known = finished.where("known").select("session_id", "start_seq", F.lit(None).cast("long").alias("ord"))
+            # the log is joined once and parted by what becomes of each event; the rest of a session now archived goes
+            begun = rows.select(F.col("id").alias("session_id"), "start_seq", "ord").unionByName(known)
+            fate = F.when(F.col("start_seq").isNull(), "rest").when(F.col("ord").isNull(), "rejected").when((F.col("type") == "message") & (F.col("seq") > F.col("start_seq")), "said")
+            parted = materialise(log.join(begun, "session_id", "left").withColumn("fate", fate).where("fate is not null").select(*log.columns, "ord", "fate"), "parted", ("fate",))
+            rejects = parted.where("fate = 'rejected'").select(*log.columns)
+            if not rejects.isEmpty():
+                name = f"rejects/{uuid.uuid4().hex}"
+                rejects.write.parquet(f"{self.root}/{name}")
+                m["rejects"].append(name)
+            said = parted.where("fate = 'said'").select("ord", "seq", "message.*")
+            count = self._write_blocks(m, rows.drop("start_seq"), said, blocks.FLUSH, in_files=True)
+            name = f"wal/{uuid.uuid4().hex}"
+            parted.where("fate = 'rest'").select(*log.columns).write.option("compression", "zstd").parquet(f"{self.root}/{name}")
         m["wal"] = [name] if not self.spark.read.schema(EVENT).parquet(f"{self.root}/{name}").isEmpty() else []
-        finished.unpersist()
         self._commit(m)
         return count
 

@@ -27,7 +27,11 @@ def folded(events: DataFrame) -> DataFrame:
 
 def pending_sessions(events: DataFrame) -> DataFrame:
     """Finished sessions as session rows; title, source, model and time come from the start's metadata."""
-    done = folded(events).where("end_seq is not null")
+    return as_sessions(folded(events).where("end_seq is not null"))
+
+
+def as_sessions(done: DataFrame) -> DataFrame:
+    """Rows of ``folded`` as session rows."""
     fields = hoist(F.col("metadata_json"))
     return done.select(F.col("session_id").alias("id"), *[c.alias(k) for k, c in fields.items()], F.coalesce("metadata_json", F.lit("{}")).alias("metadata_json"), "start_seq", "end_seq")
 

@@ -40,8 +40,17 @@ def token_index(sessions: DataFrame, messages: DataFrame, key: str, message_key:
     place = sessions.select(*BLOCK, F.col(key).alias("_k"))
     said = messages.where("content is not null").select(F.col(message_key).alias("_k"), F.explode(tokens(F.col("content"))).alias("token")).distinct()
     words = said.join(place, "_k").select("token", *BLOCK)
-    ids = sessions.groupBy(*BLOCK).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", F.col("id").alias("i")))), lambda x: x["i"]), ",").alias("token")).select("token", *BLOCK)
-    return words.unionByName(ids).distinct()
+    return words.unionByName(_joined_ids(sessions)).distinct()
+
+
+def stored_token_index(sessions: DataFrame, messages: DataFrame) -> DataFrame:
+    """The same of stored tables, whose messages bear their block: no join, and a task sends a word of a block once."""
+    words = messages.where("content is not null").select(F.explode(tokens(F.col("content"))).alias("token"), *BLOCK)
+    return words.unionByName(_joined_ids(sessions)).distinct()
+
+
+def _joined_ids(sessions: DataFrame) -> DataFrame:
+    return sessions.groupBy(*BLOCK).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", F.col("id").alias("i")))), lambda x: x["i"]), ",").alias("token")).select("token", *BLOCK)
 
 
 def gated_blocks(token_index: DataFrame, query: str) -> DataFrame | None:

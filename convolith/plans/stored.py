@@ -9,7 +9,7 @@ from convolith.archive import Archive
 from convolith.functions import text
 from convolith.operators import blocks, events
 from convolith.plans.archive import _FOLD_SQL, _WORDS, ORDER, _hits_sql, _log, _messages, _sessions
-from convolith.shared import scratch_path
+from convolith.shared import passing, scratch_path
 from convolith.sources import export_tree, ingest
 
 QUERIES = {}
@@ -30,10 +30,11 @@ def query(sql: str):
 def _new(spark: SparkSession, d: str) -> Archive:
     """An archive of the sessions in their order, with their messages, in blocks of a hundred."""
     archive = Archive(spark, scratch_path(spark, "archive"))
-    rows = blocks.ranked(_sessions(spark, d), ORDER).select(F.col("rn").alias("ord"), "id", "title", "source", "model", "created_at", "metadata_json")
-    said = _messages(spark, d).select("session_id", "seq", text.normal_role(F.col("role")).alias("role"), *_FIELDS)
-    messages = said.join(rows.select("ord", F.col("id").alias("session_id")), "session_id").select("ord", "seq", "role", *_FIELDS)
-    archive.append_tables(rows, messages)
+    with passing(spark):
+        rows = blocks.ranked(_sessions(spark, d), ORDER).select(F.col("rn").alias("ord"), "id", "title", "source", "model", "created_at", "metadata_json")
+        said = _messages(spark, d).select("session_id", "seq", text.normal_role(F.col("role")).alias("role"), *_FIELDS)
+        messages = said.join(rows.select("ord", F.col("id").alias("session_id")), "session_id").select("ord", "seq", "role", *_FIELDS)
+        archive.append_tables(rows, messages)
     return archive
 
 

@@ -3,11 +3,13 @@ from __future__ import annotations
 import io
 import json
 import random
+from pathlib import Path
 
 import pytest
 from convolith import cli, rpc
 from convolith.archive import Archive, DataMissing, IndexMissing, LockTimeout
-from convolith.operators import blocks
+from convolith.operators import blocks, search
+from convolith.shared import shared_dir
 from convolith.sources import ingest as I
 from pyspark.sql import functions as F
 
@@ -174,6 +176,27 @@ def test_flush_leaves_the_rest_under_its_numbers(archive, spark):
     assert sorted(r["seq"] - 3_000_000_000 for r in archive.events().collect()) == [1, 2, 5]
 
 
+def test_flush_parts_the_log_and_leaves_no_scratch(archive, spark):
+    put(archive, doc("known", 1))
+    rows = [("message", "done", "early"), ("session_start", "done", None), ("session_start", "known", None), ("message", "done", "kept"), ("session_start", "open", None), ("message", "known", "refused"), ("message", "open", "waits"), ("finalize", "done", None), ("finalize", "known", None), ("message", "done", "late"), ("message", "lost", "orphan")]
+    docs = [{"type": t, "session_id": s, **({"message": {"role": "user", "content": c}} if c else {})} for t, s, c in rows]
+    archive.append_events(I.event_frame(spark, [I.event(d) for d in docs]))
+
+    def scratch():
+        return {str(p) for p in Path(shared_dir(spark).removeprefix("file:"), "convolith").rglob("*.parquet")}
+
+    before = scratch()
+    assert archive.flush() == 1
+    assert scratch() <= before
+    assert [m["content"] for m in archive.get("done").first()["messages"]] == ["kept", "late"]
+    assert sorted(r["seq"] for r in archive.events().collect()) == [4, 6, 10]
+    refused = spark.read.parquet(*[f"{archive.root}/{r}" for r in archive.manifest()["rejects"]])
+    assert sorted(r["seq"] for r in refused.collect()) == [2, 5, 8]
+    keyed = archive.sessions().withColumn("k", F.struct("segment", "block_seq", "pos"))
+    joined = search.token_index(keyed, archive.messages().select(F.struct("segment", "block_seq", "pos").alias("k"), "content"), "k", "k")
+    assert sorted(map(tuple, archive.token_index().select(joined.columns).collect())) == sorted(map(tuple, joined.collect()))
+
+
 def test_bad_manifest_and_lock(archive):
     put(archive, doc("x"))
     with archive.lock(), pytest.raises(LockTimeout):
